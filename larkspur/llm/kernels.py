@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are handled at once.
 BLOCK_BYTES = 4 << 20
@@ -73,7 +74,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)).astype(np.int64)
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
         ends, start, base = np.cumsum(lengths), 0, 0
         while start < len(lengths):
             stop = max(start + 1, int(np.searchsorted(ends, base + size - weight, side="right")))

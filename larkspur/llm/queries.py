@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import table
+from larkspur.llm.decontam import contaminated
 from larkspur.llm.line_dedup import drop_common_lines
 from larkspur.llm.quality import score_documents
+from larkspur.llm.repeats import remove_repeats
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with the column ``_trusted``: a label calls them good, and none calls them bad."""
     good = labels.groupBy("doc_id").agg(F.min(F.col("quality") == 1).alias("_trusted"))
@@ -31,6 +41,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_decontamination": op4_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
 
