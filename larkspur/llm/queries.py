@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import table
 from larkspur.llm.decontam import contaminated
 from larkspur.llm.line_dedup import drop_common_lines
+from larkspur.llm.ngram_join import similar_documents
 from larkspur.llm.quality import score_documents
 from larkspur.llm.repeats import remove_repeats
 
@@ -27,6 +28,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with the column ``_trusted``: a label calls them good, and none calls them bad."""
     good = labels.groupBy("doc_id").agg(F.min(F.col("quality") == 1).alias("_trusted"))
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
 }
 
