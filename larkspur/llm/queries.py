@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import table
 from larkspur.llm.decontam import contaminated
 from larkspur.llm.line_dedup import drop_common_lines
+from larkspur.llm.html_text import extract_main_text
+from larkspur.llm.language_id import identify
 from larkspur.llm.lm_score import score_texts
 from larkspur.llm.ngram_join import similar_documents
 from larkspur.llm.quality import score_documents
@@ -42,6 +44,14 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), fold(5) == 0)
+
+
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with the column ``_trusted``: a label calls them good, and none calls them bad."""
     good = labels.groupBy("doc_id").agg(F.min(F.col("quality") == 1).alias("_trusted"))
@@ -50,7 +60,7 @@ def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_trust(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    out = score_documents(docs, F.col("_trusted"))
+    out = score_documents(docs, F.col("_trusted")).drop("_trusted")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
@@ -60,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_html_extraction": op6_html_extraction,
+    "op7_language_id": op7_language_id,
     "op9_quality_rules": op9_quality_rules,
 }
 
