@@ -14,6 +14,8 @@ from larkspur.llm.html_text import extract_main_text
 from larkspur.llm.language_id import identify
 from larkspur.llm.lm_score import score_texts
 from larkspur.llm.ngram_join import similar_documents
+from larkspur.llm.pieces import Pieces, decode, encode, model_path
+from larkspur.llm.pii import find_personal_data
 from larkspur.llm.quality import score_documents
 from larkspur.llm.repeats import remove_repeats
 
@@ -52,6 +54,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), fold(5) == 0)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = spark.sparkContext.broadcast(Pieces(model_path()))
+    coded = encode(docs, pieces, seed=1)
+    coded = coded.select("doc_id", "text", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("pieces_hash"), "piece_ids")
+    back = decode(coded, pieces)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return back.select("doc_id", "n_pieces", "pieces_hash", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), same.alias("lossless"))
+
+
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with the column ``_trusted``: a label calls them good, and none calls them bad."""
     good = labels.groupBy("doc_id").agg(F.min(F.col("quality") == 1).alias("_trusted"))
@@ -64,6 +76,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -72,7 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_html_extraction": op6_html_extraction,
     "op7_language_id": op7_language_id,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
+    "op10_pii": op10_pii,
 }
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
