@@ -72,6 +72,18 @@ def bucket_weights(docs: DataFrame, trusted: Column, buckets: int = BUCKETS, smo
     return np.log(share(target) / share(raw))
 
 
+def with_trust(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with the column ``_trusted``: whether the document belongs to the target.
+
+    The target is a sample of at most ``most`` of the documents that some label
+    calls good (``quality`` 1) and none calls bad, the least by a hash of the id:
+    the bound on what is sent to every task. The raw corpus is all of ``docs``.
+    """
+    good = labels.groupBy(F.col(id_col).alias("_good")).agg(F.min(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("_all"))
+    good = good.filter("_all and _good is not null").orderBy(F.xxhash64("_good"), "_good").limit(most).select("_good", F.lit(True).alias("_trusted"))
+    return docs.drop("_trusted").join(F.broadcast(good), F.col(id_col) == F.col("_good"), "left").drop("_good")
+
+
 def score_documents(docs: DataFrame, trusted: Column, threshold: float = -0.1, min_words: int = 50, max_repeat_percent: int = 50, buckets: int = BUCKETS, text_col: str = "text") -> DataFrame:
     """Counts, score and verdict of every row.
 

@@ -16,7 +16,7 @@ from larkspur.llm.lm_score import score_texts
 from larkspur.llm.ngram_join import similar_documents
 from larkspur.llm.pieces import Pieces, decode, encode, model_path
 from larkspur.llm.pii import find_personal_data
-from larkspur.llm.quality import score_documents
+from larkspur.llm.quality import score_documents, with_trust
 from larkspur.llm.repeats import remove_repeats
 
 
@@ -64,12 +64,6 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_pieces", "pieces_hash", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"), same.alias("lossless"))
 
 
-def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with the column ``_trusted``: a label calls them good, and none calls them bad."""
-    good = labels.groupBy("doc_id").agg(F.min(F.col("quality") == 1).alias("_trusted"))
-    return docs.drop("_trusted").join(good, "doc_id", "left")
-
-
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_trust(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     out = score_documents(docs, F.col("_trusted")).drop("_trusted")
