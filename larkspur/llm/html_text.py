@@ -1,12 +1,12 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines: one for every block-level element, and markup
-that never holds an article (scripts, navigation, forms, asides, elements that
-are named as adverts, notices, comments and the like) leaves only an empty line
-behind. The text lengths of the lines are summed over a sliding window. The
-article begins where this curve surges past a threshold and ends where it dives
-to nothing; all blocks between a surge and its dive are kept, short paragraphs
-included. If the page marks its article (article, main) the curve is read
+Markup is stripped to lines: one for every block-level element with text, and
+markup that never holds an article (scripts, navigation, forms, asides,
+elements that are named as adverts, notices, comments and the like) leaves only
+empty lines behind. The text lengths of the lines are summed over a sliding
+window. The curve dives to nothing where a whole window is empty; a stretch
+between two dives is kept whole, short paragraphs included, if the curve surges
+past a threshold in it. If the page marks its article (article, main) the curve is read
 inside it, and as the mark already bounds the article it surges at once.
 """
 
@@ -41,7 +41,7 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, bool]] = []
+        self.lines: list[tuple[str | None, bool]] = []
         self.parts: list[str] = []
         self.stack: list[str] = []
         self.skip: list[int] = []  # depths of open elements that hold no article text
@@ -49,7 +49,8 @@ class _Lines(HTMLParser):
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
-        self.lines.append((text, bool(self.marks)))
+        if text:
+            self.lines.append((text, bool(self.marks)))
         self.parts.clear()
 
     def leave(self, depth: int) -> None:
@@ -73,6 +74,8 @@ class _Lines(HTMLParser):
         named = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and re.search(r"display\s*:\s*none", v)) for k, v in attrs)
         if (tag in SKIPPED and not (inside and tag in ("header", "figure"))) or hidden or (tag not in ("html", "body", "article", "main") and NAMED.search(named)):
+            if not self.skip:
+                self.lines.append((None, inside))  # a gap, in which the curve dives to nothing
             self.skip.append(depth)
         elif tag in ("article", "main"):
             self.marks.append(depth)
@@ -96,7 +99,7 @@ class _Lines(HTMLParser):
             self.parts.append(data)
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
+def lines_of(page: str) -> list[tuple[str | None, bool]]:
     parser = _Lines()
     parser.feed(page)
     parser.close()
@@ -109,23 +112,24 @@ def main_text(page: str | None, window: int = 3, surge: int = 80) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    marked = [text for text, inside in lines if inside]
     # A mark bounds the article by itself: any text surges there.
-    texts, threshold = (marked, 1) if any(marked) else ([text for text, _ in lines], surge)
-    sizes = np.array([len(x) for x in texts])
+    marked = any(text and inside for text, inside in lines)
+    chosen = [text for text, inside in lines if inside or not marked]
+    threshold = 1 if marked else surge
+    # Boilerplate leaves as many empty lines as a window has.
+    texts = [x for text in chosen for x in ([text] if text else [""] * window)]
+    sizes = np.array([len(x) for x in texts], dtype=np.int64)
     if not sizes.sum():
         return ""
-    # curve[i]: text in the lines i .. i + window - 1 that aren't empty
-    filled = np.flatnonzero(sizes)
-    dense = sizes[filled]
-    total = np.concatenate(([0], np.cumsum(dense)))
-    ends = np.minimum(np.arange(len(dense)) + window, len(dense))
+    # curve[i]: text in the lines i .. i + window - 1
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    ends = np.minimum(np.arange(len(sizes)) + window, len(sizes))
     curve = total[ends] - total[:-1]
-    high = curve >= min(threshold, int(curve.max()))
-    keep = np.zeros(len(dense), dtype=bool)
-    for i in np.flatnonzero(high).tolist():  # a window that is high holds the blocks between surge and dive
-        keep[i : ends[i]] = True
-    return "\n".join(texts[filled[i]] for i in np.flatnonzero(keep).tolist())
+    # Stretches between two dives, and those of them that surge. The threshold is never above the page's top.
+    stretch = np.cumsum(curve == 0)
+    high = np.unique(stretch[(curve >= min(threshold, int(curve.max()))) & (curve > 0)])
+    keep = np.isin(stretch, high) & (sizes > 0)
+    return "\n".join(texts[i] for i in np.flatnonzero(keep).tolist())
 
 
 def _extract(window: int, surge: int):
