@@ -333,7 +333,7 @@ def core_entities(spark, sf):
     return C.core_entities(C.entity_coverage(t(spark, sf, "documents"), ENTITIES))
 
 
-@query()
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, 'oaicite|contentReference|turn\\d+search\\d+|utm_source=chatgpt|:contentReference')) AS INTEGER) AS tool_marks, CAST(len(regexp_extract_all(text, '[?&]utm_[a-z]+=')) AS INTEGER) AS tracking, CAST(len(regexp_extract_all(text, '[\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}\\x{00AD}]')) AS INTEGER) AS invisible, CAST(len(list_filter(regexp_extract_all(text, '\\p{L}+'), lambda w: regexp_matches(w, '\\p{Cyrillic}') AND regexp_matches(w, '[A-Za-z]'))) AS INTEGER) AS mixed_script FROM documents")
 def text_markers(spark, sf):
     return C.markers(t(spark, sf, "documents"))
 
@@ -463,10 +463,10 @@ def site_radius(spark, sf):
     return G.site_radius(v, "vec_id").select("vec_id", r("radius", 5))
 
 
-@query("SELECT a.vec_id AS donor, b.vec_id AS target, CAST(a.label AS INTEGER) AS cluster, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 100 AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.78")
+@query("SELECT a.vec_id AS donor, b.vec_id AS target, CAST(a.label AS INTEGER) AS cluster, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 100 AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3")
 def link_candidates(spark, sf):
     e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), F.col("embedding").alias("vector"))
-    return G.link_candidates(e.filter("id < 100"), e).select("donor", "target", "cluster", r("similarity", 4))
+    return G.link_candidates(e.filter("id < 100"), e, least=0.3).select("donor", "target", "cluster", r("similarity", 4))
 
 
 # --- trends, answers, logs ------------------------------------------------
@@ -504,7 +504,7 @@ def _answers(spark, sf):
     return c.select(engine.alias("engine"), F.lit("api").alias("grounding"), (F.col("conv_id") % 5).alias("prompt_id"), F.col("conv_id").alias("repeat"), F.col("text").alias("answer"), cited.alias("cited"), F.lit(None).cast("string").alias("error"))
 
 
-@query("WITH a AS (SELECT 'e' || CAST(conv_id % 2 AS VARCHAR) AS engine, conv_id % 5 AS prompt_id, conv_id, lower(text) AS x, text, turn % 2 = 1 AS cited, position('the' IN lower(text)) AS at FROM conversations WHERE role = 'assistant'), r AS (SELECT engine, min(r) AS repeats FROM (SELECT engine, prompt_id, count(DISTINCT conv_id) AS r FROM a GROUP BY 1, 2) GROUP BY engine), b AS (SELECT engine, count(*) AS answers, avg(CASE WHEN cited THEN 1.0 ELSE 0.0 END) AS cr, avg(CASE WHEN at > 0 THEN 1.0 ELSE 0.0 END) AS mr, CAST(count(*) FILTER (WHERE at > 0) AS DOUBLE) / (count(*) FILTER (WHERE at > 0) + count(*) FILTER (WHERE contains(x, 'with')) + count(*) FILTER (WHERE contains(x, 'nicht'))) AS sov, CAST(count(*) FILTER (WHERE cited AND at = 0) AS DOUBLE) / nullif(count(*) FILTER (WHERE cited), 0) AS gm, count(*) FILTER (WHERE at > 0 AND floor((at - 1) * 3.0 / greatest(length(text), 1)) = 0) AS t1, count(*) FILTER (WHERE at > 0 AND floor((at - 1) * 3.0 / greatest(length(text), 1)) = 1) AS t2, count(*) FILTER (WHERE at > 0 AND floor((at - 1) * 3.0 / greatest(length(text), 1)) >= 2) AS t3 FROM a GROUP BY engine) SELECT b.engine AS engine, 'api' AS grounding, answers, round(cr, 6) AS citation_rate, round(mr, 6) AS mention_rate, round(sov, 6) AS share_of_voice, round(gm, 6) AS ghost_mention_rate, t1 AS first_third, t2 AS middle, t3 AS last_third, repeats, repeats < 3 AS refused FROM b JOIN r ON r.engine = b.engine")
+@query("WITH a AS (SELECT 'e' || CAST(conv_id % 2 AS VARCHAR) AS engine, conv_id % 5 AS prompt_id, conv_id, lower(text) AS x, text, turn % 2 = 1 AS cited, position('the' IN lower(text)) AS pl FROM conversations WHERE role = 'assistant'), r AS (SELECT engine, min(r) AS repeats FROM (SELECT engine, prompt_id, count(DISTINCT conv_id) AS r FROM a GROUP BY 1, 2) GROUP BY engine), b AS (SELECT engine, count(*) AS answers, avg(CASE WHEN cited THEN 1.0 ELSE 0.0 END) AS cr, avg(CASE WHEN pl > 0 THEN 1.0 ELSE 0.0 END) AS mr, CAST(count(*) FILTER (WHERE pl > 0) AS DOUBLE) / (count(*) FILTER (WHERE pl > 0) + count(*) FILTER (WHERE contains(x, 'with')) + count(*) FILTER (WHERE contains(x, 'nicht'))) AS sov, CAST(count(*) FILTER (WHERE cited AND pl = 0) AS DOUBLE) / nullif(count(*) FILTER (WHERE cited), 0) AS gm, count(*) FILTER (WHERE pl > 0 AND floor((pl - 1) * 3.0 / greatest(length(text), 1)) = 0) AS t1, count(*) FILTER (WHERE pl > 0 AND floor((pl - 1) * 3.0 / greatest(length(text), 1)) = 1) AS t2, count(*) FILTER (WHERE pl > 0 AND floor((pl - 1) * 3.0 / greatest(length(text), 1)) >= 2) AS t3 FROM a GROUP BY engine) SELECT b.engine AS engine, 'api' AS grounding, answers, round(cr, 6) AS citation_rate, round(mr, 6) AS mention_rate, round(sov, 6) AS share_of_voice, round(gm, 6) AS ghost_mention_rate, t1 AS first_third, t2 AS middle, t3 AS last_third, repeats, repeats < 3 AS refused FROM b JOIN r ON r.engine = b.engine")
 def answer_scores(spark, sf):
     out = M.answer_scores(_answers(spark, sf), "the", "ours.example", ["with", "nicht"])
     return out.select("engine", "grounding", "answers", r("citation_rate"), r("mention_rate"), r("share_of_voice"), r("ghost_mention_rate"), "first_third", "middle", "last_third", "repeats", "refused")
@@ -527,7 +527,7 @@ def hour_gaps(spark, sf):
     return T.hour_gaps(T.hourly(t(spark, sf, "events").filter("event_id % 40 = 0")))
 
 
-@query()
+@query("SELECT start, start + INTERVAL 7 DAY AS \"end\", event_type, count(*) AS n FROM (SELECT event_type, date_trunc('day', ts) - k * INTERVAL 1 DAY AS start FROM events, (SELECT unnest(range(7)) AS k)) GROUP BY start, event_type")
 def sliding_windows(spark, sf):
     return T.sliding(t(spark, sf, "events"))
 
