@@ -576,3 +576,119 @@ def sitemap_diff(spark, sf):
     a = c.filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("url"), F.col("c_nationkey").alias("lastmod"))
     b = c.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("url"), F.when(F.col("c_custkey") % 7 == 0, 99).otherwise(F.col("c_nationkey")).alias("lastmod"))
     return M.sitemap_diff(a, b).select("url", "change")
+
+
+# --- further operators ----------------------------------------------------
+
+
+@query("WITH d AS (SELECT l_suppkey AS query, CAST(date_trunc('year', l_shipdate) AS DATE) AS date, list_sort(list_distinct(list(l_partkey))) AS urls FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1, 2), p AS (SELECT query, date, urls[1:10] AS urls FROM d), w AS (SELECT *, lag(urls) OVER (PARTITION BY query ORDER BY date) AS before FROM p), c AS (SELECT query, CAST(len(list_filter(urls, lambda u: NOT list_contains(before, u))) AS DOUBLE) / len(urls) AS t FROM w WHERE before IS NOT NULL) SELECT query, round(avg(t), 6) AS turnover, count(*) AS snapshots FROM c GROUP BY query")
+def serp_turnover(spark, sf):
+    li = t(spark, sf, "lineitem").filter("l_suppkey <= 20")
+    snaps = li.groupBy(F.col("l_suppkey").alias("query"), F.date_trunc("year", "l_shipdate").cast("date").alias("date")).agg(F.sort_array(F.collect_set("l_partkey")).alias("urls"))
+    return M.turnover(snaps).select("query", r("turnover"), "snapshots")
+
+
+@query("SELECT p_brand AS page, median(date_diff('day', CAST(l_shipdate AS DATE), DATE '2002-01-01')) AS source_age_median FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand")
+def source_age(spark, sf):
+    c = t(spark, sf, "lineitem").join(t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return M.source_age(c.select(F.col("p_brand").alias("page"), F.lit(dt.date(2002, 1, 1)).alias("checked"), F.to_date("l_shipdate").alias("published")))
+
+
+@query("WITH f AS (SELECT l_orderkey AS query, l_linenumber % 3 AS k FROM lineitem WHERE l_orderkey % 20 = 0), i AS (SELECT query, CASE k WHEN 0 THEN 'informational' WHEN 1 THEN 'transactional' ELSE 'commercial' END AS intent, count(*) AS n FROM f GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, intent) AS rn, sum(n) OVER (PARTITION BY query) AS tot FROM i) SELECT query, intent, round(CAST(n AS DOUBLE) / tot, 6) AS confidence, CAST(n AS DOUBLE) / tot < 0.5 AS arbitrate FROM rk WHERE rn = 1")
+def query_intent(spark, sf):
+    li = t(spark, sf, "lineitem").filter("l_orderkey % 20 = 0")
+    feats = li.groupBy(F.col("l_orderkey").alias("query")).agg(F.collect_list((F.col("l_linenumber") % 3).cast("int")).alias("features"))
+    rules = spark.createDataFrame([(0, "informational"), (1, "transactional"), (2, "commercial")], "feature int, intent string")
+    return M.intent_of(feats, rules).select("query", "intent", r("confidence"), "arbitrate")
+
+
+@query("WITH h AS (SELECT o_custkey AS doc_id, o_orderkey AS pos, CAST(1 + o_orderkey % 4 AS INTEGER) AS level FROM orders), b AS (SELECT *, lag(level) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM h) SELECT doc_id, pos, level, before FROM b WHERE level - before > 1")
+def heading_skips(spark, sf):
+    h = t(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), (1 + F.col("o_orderkey") % 4).cast("int").alias("level"))
+    return C.heading_skips(h)
+
+
+@query("WITH l AS (SELECT conv_id AS doc_id, turn AS pos, CASE length(text) % 3 WHEN 0 THEN 'item' WHEN 1 THEN 'prose' ELSE 'blank' END AS kind FROM conversations), s AS (SELECT doc_id, pos, kind, CASE WHEN kind = 'item' AND coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY pos), 'blank') <> 'item' THEN 1 ELSE 0 END AS st, sum(CASE WHEN kind = 'prose' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM l), g AS (SELECT doc_id, island, sum(st) AS n FROM s GROUP BY 1, 2) SELECT doc_id, CAST(max(n) AS BIGINT) AS longest_run FROM g GROUP BY doc_id")
+def list_runs(spark, sf):
+    k = F.length("text") % 3
+    return C.list_runs(t(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.when(k == 0, "item").when(k == 1, "prose").otherwise("blank").alias("kind")))
+
+
+@query("WITH c AS (SELECT l_orderkey % 100 AS draft, CASE WHEN l_linenumber <= 4 THEN 'factual' ELSE 'opinion' END AS kind, CASE l_returnflag WHEN 'R' THEN NULL WHEN 'A' THEN 'primary' ELSE 'secondary' END AS tier, CASE WHEN l_suppkey % 50 = 0 THEN 404 WHEN l_suppkey % 51 = 0 THEN NULL ELSE 200 END AS http, l_quantity > 45 AS fp FROM lineitem) SELECT draft, round(CAST(count(*) FILTER (WHERE kind = 'factual' AND tier IS NOT NULL) AS DOUBLE) / nullif(count(*) FILTER (WHERE kind = 'factual'), 0), 6) AS sourced_share, round(CAST(count(*) FILTER (WHERE kind = 'factual' AND tier = 'primary') AS DOUBLE) / nullif(count(*) FILTER (WHERE kind = 'factual' AND tier IS NOT NULL), 0), 6) AS primary_share, count(*) FILTER (WHERE http IS NULL OR http NOT BETWEEN 200 AND 299) AS dead, count(*) FILTER (WHERE fp) AS first_party FROM c GROUP BY draft")
+def claim_shares(spark, sf):
+    s = F.col("l_suppkey")
+    c = t(spark, sf, "lineitem").select((F.col("l_orderkey") % 100).alias("draft"), F.when(F.col("l_linenumber") <= 4, "factual").otherwise("opinion").alias("kind"), F.when(F.col("l_returnflag") == "R", None).when(F.col("l_returnflag") == "A", "primary").otherwise("secondary").alias("tier"), F.when(s % 50 == 0, 404).when(s % 51 == 0, None).otherwise(200).alias("http_status"), (F.col("l_quantity") > 45).alias("first_party"))
+    return C.claim_rules(c).select("draft", r("sourced_share"), r("primary_share"), "dead", "first_party")
+
+
+@query("SELECT p_type AS key, count(DISTINCT p_size) AS values, count(DISTINCT p_brand) AS files FROM part WHERE p_partkey % 9 = 0 GROUP BY p_type HAVING count(DISTINCT p_size) > 1")
+def threshold_homes(spark, sf):
+    return C.threshold_homes(t(spark, sf, "part").filter("p_partkey % 9 = 0").select(F.col("p_type").alias("key"), F.col("p_size").alias("value"), F.col("p_brand").alias("file")))
+
+
+@query("WITH e AS (SELECT p_brand AS s, regexp_replace(lower(trim(p_type)), '\\s+', ' ', 'g') AS norm, p_size > 45 AS forbidden FROM part WHERE p_partkey % 7 = 0) SELECT DISTINCT a.norm AS norm, a.s AS prescribed_by, b.s AS forbidden_by FROM e a JOIN e b ON a.norm = b.norm WHERE NOT a.forbidden AND b.forbidden")
+def prescribed_forbidden(spark, sf):
+    return C.prescribed_forbidden(t(spark, sf, "part").filter("p_partkey % 7 = 0").select(F.col("p_brand").alias("set"), F.col("p_type").alias("phrase"), (F.col("p_size") > 45).alias("forbidden")))
+
+
+@query("SELECT o_custkey % 40 AS pillar_id, count(*) AS clusters FROM orders WHERE o_orderkey % 300 = 0 GROUP BY 1 HAVING count(*) > 1")
+def pillar_groups(spark, sf):
+    return G.pillar_groups(t(spark, sf, "orders").filter("o_orderkey % 300 = 0").select((F.col("o_custkey") % 40).alias("pillar_id"), F.col("o_orderkey").alias("cluster_id"))).drop("cluster_ids")
+
+
+@query("WITH x AS (SELECT CAST(l_shipdate AS DATE) AS data_date, l_linenumber AS v FROM lineitem WHERE l_linestatus = 'O'), e AS (SELECT data_date, max(v) AS epoch_version FROM x GROUP BY 1), b AS (SELECT CAST(l_shipdate AS DATE) AS data_date, min(l_linenumber) + 3 AS v FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1) SELECT e.data_date AS data_date, CAST(v AS INTEGER) AS _before, CAST(epoch_version AS INTEGER) AS epoch_version FROM e JOIN b ON e.data_date = b.data_date WHERE epoch_version > v")
+def raised_epochs(spark, sf):
+    li = t(spark, sf, "lineitem").withColumn("data_date", F.to_date("l_shipdate"))
+    now_ = S.epochs(li.select("data_date", F.col("l_linenumber").alias("epoch_version"), F.col("l_linestatus").alias("agenda")), "O")
+    before = li.filter("l_suppkey % 2 = 0").groupBy("data_date").agg((F.min("l_linenumber") + 3).cast("int").alias("epoch_version"))
+    return sinks.raised_epochs(now_, before)
+
+
+@query(f"SELECT CAST(l_shipdate AS DATE) AS date, l_returnflag AS query, 'p' || CAST(l_suppkey AS VARCHAR) AS page, 'd' AS device, 'c' AS country, CAST(sum(l_linenumber) AS BIGINT) AS clicks, CAST(sum(floor(l_quantity)) AS BIGINT) AS impressions, CAST(sum(l_linenumber * 3) AS DOUBLE) AS sum_position, round(CAST(sum(l_linenumber * 3) AS DOUBLE) / sum(floor(l_quantity)) + 1, 4) AS position FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '{PRIOR[0]}' AND DATE '{NOW[1]}' GROUP BY 1, 2, 3")
+def warehouse_rows(spark, sf):
+    li = t(spark, sf, "lineitem")
+    rows = li.select(F.to_date("l_shipdate").alias("data_date"), F.col("l_returnflag").alias("query"), F.concat(F.lit("p"), F.col("l_suppkey").cast("string")).alias("url"), F.lit("d").alias("device"), F.lit("c").alias("country"), F.col("l_linenumber").cast("long").alias("clicks"), F.floor("l_quantity").cast("long").alias("impressions"), (F.col("l_linenumber") * 3).cast("double").alias("sum_position"))
+    return S.from_warehouse(rows, str(PRIOR[0]), str(NOW[1]))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN (c_acctbal - 4000) / nullif(4000, 0) >= 0.5 THEN 'confirmed' WHEN (c_acctbal - 4000) / nullif(4000, 0) <= -0.5 THEN 'reverted' WHEN c_custkey % 2 = 0 THEN 'inconclusive' ELSE 'extend_once' END AS outcome FROM customer")
+def change_outcomes(spark, sf):
+    return t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), M.change_outcome(F.lit(4000.0), F.col("c_acctbal"), F.lit(0.5), F.col("c_custkey") % 2 == 0).alias("outcome"))
+
+
+@query("WITH s AS (SELECT p_partkey AS id, p_size / 10.0 AS z, p_size / 25.0 AS a, p_partkey % 5 AS s FROM part), c AS (SELECT id, 0.35 * least(greatest(z / 5.0, 0), 1) + 0.25 * least(greatest(a / 5.0, 0), 1) + 0.25 * (s / 4.0) + 0.15 * 0.5 AS sc FROM s) SELECT id, round(CAST(sc AS DOUBLE), 6) AS score, CASE WHEN sc >= 0.65 THEN 'plan' WHEN sc >= 0.45 THEN 'watchlist' ELSE 'discarded' END AS bucket FROM c WHERE abs(sc - 0.65) > 1e-9 AND abs(sc - 0.45) > 1e-9")
+def trend_scores(spark, sf):
+    p = t(spark, sf, "part")
+    score = M.trend_score(F.col("p_size") / 10.0, F.col("p_size") / 25.0, F.col("p_partkey") % 5, F.lit(0.5), 4)
+    out = p.select(F.col("p_partkey").alias("id"), score.alias("sc")).filter((F.abs(F.col("sc") - 0.65) > 1e-9) & (F.abs(F.col("sc") - 0.45) > 1e-9))
+    return out.select("id", r("sc", 6, "score"), M.trend_bucket(F.col("sc")).alias("bucket"))
+
+
+@query("WITH q AS (SELECT o_orderkey AS id, o_custkey % 50 AS k FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT o_orderkey AS id, o_custkey % 50 AS k FROM orders WHERE o_orderkey % 3 = 0) SELECT id, k FROM q UNION ALL SELECT id, k FROM n WHERE id NOT IN (SELECT id FROM q)")
+def queue_append(spark, sf):
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("k"))
+    return M.queue_append(o.filter("id % 2 = 0"), o.filter("id % 3 = 0"), ["id"])
+
+
+@query("WITH v AS (SELECT o_custkey AS file, o_orderkey AS line_no, o_orderpriority AS c FROM orders WHERE o_orderkey % 4 = 0), s AS (SELECT DISTINCT o_custkey AS file, o_orderkey AS line_no, o_orderpriority AS c FROM orders WHERE o_orderkey % 6 = 0 AND o_orderpriority <> 'suppressions') SELECT v.file AS file, v.line_no AS line_no, v.c AS \"check\" FROM v LEFT JOIN s ON v.file = s.file AND v.line_no = s.line_no AND v.c = s.c WHERE s.file IS NULL")
+def unsuppressed(spark, sf):
+    o = t(spark, sf, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("line_no"), F.col("o_orderpriority").alias("check"))
+    return C.suppressed(o.filter("line_no % 4 = 0"), o.filter("line_no % 6 = 0"))[0]
+
+
+@query("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id < 200) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 4) AS similarity FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) > 0.25")
+def near_queries(spark, sf):
+    e = t(spark, sf, "embeddings").filter("vec_id < 200")
+    a = e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("va"))
+    b = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("vb"))
+    out = a.join(b, "label").filter("a < b").withColumn("similarity", cosine(F.col("va"), F.col("vb"))).filter("similarity > 0.25")
+    return out.select("a", "b", r("similarity", 4))
+
+
+@query(f"""WITH {OBS}, {WINS}, {PAIRS}, {CURVED},
+st AS (SELECT count(*) AS n FROM (SELECT 1 FROM curved WHERE impressions >= 20 AND position BETWEEN 5 AND 20 AND ctr_expected > ctr LIMIT 50)), oc AS (SELECT count(*) AS n FROM curved WHERE impressions >= 50 AND position <= 10 AND ctr < 0.5 * ctr_expected), gp AS (SELECT count(*) AS n FROM (SELECT query FROM pairs GROUP BY query HAVING sum(impressions) >= 30 AND min(position) > 1.0)),
+f AS (SELECT 'striking' AS detector, 'WARN' AS severity, n FROM st UNION ALL SELECT 'ctr_outliers', 'WARN', n FROM oc UNION ALL SELECT 'gaps', 'INFO', n FROM gp)
+SELECT detector, severity, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY GROUPING SETS ((), (severity), (detector), (detector, severity)) HAVING sum(n) > 0""")
+def report_summary(spark, sf):
+    n = now(spark, sf)
+    return O.summarise(O.findings({"striking": O.striking(n, LOWER), "ctr_outliers": O.ctr_outliers(n, LOWER), "gaps": O.gaps(n, LOWER)}))
