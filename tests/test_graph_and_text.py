@@ -63,7 +63,7 @@ def test_depth_and_rank(spark):
 
 
 def test_ngram_overlap_and_short_texts(spark):
-    words = " ".join(f"w{i}" for i in range(20))
+    words = " ".join("w" + c for c in "abcdefghijklmnopqrst")
     docs = spark.createDataFrame([(1, words), (2, "a b"), (3, None)], "doc_id long, text string")
     other = spark.createDataFrame([(7, words + " more"), (8, "a b")], "item_id long, text string")
     got = C.ngram_overlap(docs, other).collect()
