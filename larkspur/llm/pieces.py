@@ -221,16 +221,27 @@ def _encode(shared, seed: int):
     return run
 
 
+#: Pieces that are decoded at once; a longer text stands alone.
+DECODED = 1 << 18
+
+
 def _decode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
-            ids = np.asarray(pc.list_flatten(lists))
-            data, bounds = decode_block(shared.value, ids, np.concatenate(([0], np.cumsum(counts))))
-            texts = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary()).cast(pa.string())
-            rest = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*rest, texts], [*batch.schema.names[:-1], "_decoded"])
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            counts = np.asarray(pc.fill_null(pc.list_value_length(whole.column(whole.num_columns - 1)), 0)).astype(np.int64)
+            ends, start = np.cumsum(counts), 0
+            while start < len(counts):
+                before = int(ends[start - 1]) if start else 0
+                stop = min(len(counts), max(start + 1, int(np.searchsorted(ends, before + DECODED, side="right"))))
+                batch = whole.slice(start, stop - start)
+                ids = np.asarray(pc.list_flatten(batch.column(batch.num_columns - 1)))
+                data, bounds = decode_block(shared.value, ids, np.concatenate(([0], ends[start:stop] - before)))
+                texts = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary()).cast(pa.string())
+                rest = [batch.column(i) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*rest, texts], [*batch.schema.names[:-1], "_decoded"])
+                start = stop
 
     return run
 
