@@ -61,5 +61,18 @@ def split_words(text: Column) -> Column:
     return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE + "+"))
 
 
+def least_by_hash(rows: DataFrame, most: int, *key: str) -> DataFrame:
+    """At most ``most`` rows, the least by a hash of ``key``.
+
+    The rows are counted first and a range of hashes is taken that has twice as
+    many as are wanted, so what each task passes on doesn't add up to more than that.
+    """
+    n, places = rows.count(), 1 << 30
+    hashed = F.xxhash64(*key)
+    if n > 2 * most:
+        rows = rows.filter(F.pmod(hashed, F.lit(places)) < max(1, 2 * most * places // n))
+    return rows.orderBy(F.pmod(hashed, F.lit(places)), *key).limit(most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

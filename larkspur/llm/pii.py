@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import least_by_hash
 from larkspur.llm.kernels import blocks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -379,7 +380,8 @@ def find_personal_data(docs: DataFrame, sample: int = 300, made_up: int = 1200,
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    some = rows.filter(F.col("_text").rlike("[0-9@]")).select(F.xxhash64("_id", "_text").alias("_h"), F.expr("substring(_text, greatest(1, regexp_instr(_text, '[0-9@]') - 200), 2000)").alias("_text")).orderBy("_h", "_text").limit(sample)
+    some = rows.filter(F.col("_text").rlike("[0-9@]")).select("_id", F.expr("substring(_text, greatest(1, regexp_instr(_text, '[0-9@]') - 200), 2000)").alias("_text"))
+    some = least_by_hash(some, sample, "_id", "_text")
     labelled = [(x["_text"], base_spans(x["_text"])[0]) for x in some.collect()] + _made_up(made_up)
     shared = spark.sparkContext.broadcast(train(labelled, rounds=rounds))
     out = rows.mapInArrow(_find(shared), f"_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import let, split_words
+from larkspur.llm.common import least_by_hash, let, split_words
 
 BUCKETS = 1 << 14
 
@@ -80,7 +80,7 @@ def with_trust(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: s
     the bound on what is sent to every task. The raw corpus is all of ``docs``.
     """
     good = labels.groupBy(F.col(id_col).alias("_good")).agg(F.min(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("_all"))
-    good = good.filter("_all and _good is not null").orderBy(F.xxhash64("_good"), "_good").limit(most).select("_good", F.lit(True).alias("_trusted"))
+    good = least_by_hash(good.filter("_all and _good is not null"), most, "_good").select("_good", F.lit(True).alias("_trusted"))
     return docs.drop("_trusted").join(F.broadcast(good), F.col(id_col) == F.col("_good"), "left").drop("_good")
 
 
