@@ -11,16 +11,19 @@ keys in common, or more: no link is lost. How wide a range is follows from the
 size of the set, in powers of two; a set is indexed at each width that a
 partner may have.
 
-Keys are rare or frequent by the number of sets that have them. A rare key
-counts by itself. A document with g frequent keys or fewer has a rare key in
-common with every partner, so its frequent ones (from a passage that many
-documents share) are dropped without losing a link; only documents that
-consist of frequent keys to a good part are compared by them.
-
-Candidates are verified exactly, but never as all pairs of a key: first a set
-against the least set of the keys it has most in common with; then only pairs
-of a key whose sets are not in one component yet. Equal sets are one node from
-the start. Components come from large-star and small-star rounds.
+Keys are rare or frequent by the number of sets that have them. A set with g
+frequent keys or fewer (from a passage that many documents share) has a rare
+key in common with every partner and is found by those alone. Pairs need as
+many common rare keys as g + 1 leaves when the frequent ones are allowed for.
+Sets that consist of frequent keys to a good part are also compared by those.
+
+Candidates are verified exactly, but never as all pairs of a large key: first a
+set against the least set of the keys it has most in common with; then only
+sets that are not in one component yet, as pairs for the rare keys (a bounded
+number each), and for the frequent ones in chunks, each pair of chunks by one
+matrix product, so that no row is made for a pair that isn't a link. Equal sets
+are one node from the start. Components come from large-star and small-star
+rounds.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import discard, written
@@ -216,6 +219,38 @@ def _verified(percent: int):
     return run
 
 
+def _compared(percent: int):
+    """Links between two chunks of a key's sets, or within one, of sets that aren't in one component: common shingles by a matrix product."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, label, own = (table.column(c).to_numpy() for c in ("_node", "_label", "_own"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("_set")]
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        every = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        new = np.concatenate(([True], every[1:] != every[:-1]))
+        column = np.cumsum(new) - 1
+        shared = np.bincount(column)[column] > 1  # a shingle of one set alone is common to no two
+        column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        width = 2048
+        bounds = np.searchsorted(column, np.arange(0, (int(column[-1]) + 1 if len(column) else 0) + width, width))
+        for k, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            has = np.zeros((len(sets), width), np.float32)
+            has[owner[lo:hi], column[lo:hi] - k * width] = 1
+            common += has @ has.T
+        union = size[:, None] + size[None, :] - common
+        good = (100 * common >= percent * union) & (node[:, None] < node[None, :]) & (label[:, None] != label[None, :])
+        if table.column("_i")[0].as_py() != table.column("_j")[0].as_py():
+            good &= own[:, None] != own[None, :]
+        a, b = np.nonzero(good)
+        return pa.table({"_a": pa.array(node[a]), "_b": pa.array(node[b])})
+
+    return run
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("_node").alias("_b"), F.col("_set").alias("_y"))
     two = sets.select(F.col("_node").alias("_a"), F.col("_set").alias("_x"))
@@ -248,6 +283,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("_u").alias("_node"), F.col("_v").alias("_label")).unionByName(edges.select(F.col("_v").alias("_node"), F.col("_v").alias("_label"))).distinct()
 
 
+#: Sets, and about as many shingles, that a chunk of a frequent key has at most.
+CHUNK, CHUNK_TOKENS = 1024, 1 << 19
 #: Candidate sets up to which their ids are sent to every task instead of shuffling all texts.
 BROADCAST_IDS = 200_000
 
@@ -276,38 +313,65 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     keys = rows.select("_text").mapInArrow(_key_rows(n, percent), "_key long, _node long, _how int")
     live = keys.repartition(wide, "_key").sortWithinPartitions("_key", "_node").mapInArrow(_live, "_key long, _node long, _how int, _frequent boolean")
     live = written(live, "live-keys")
-    needs = live.filter("_frequent").groupBy("_node", "_how").agg(F.count(F.lit(1)).alias("_many")).filter(F.col("_many") >= F.shiftright("_how", 6)).select("_node", "_how")
-    used = live.filter("not _frequent").select("_key", "_node").unionByName(live.filter("_frequent").join(needs, ["_node", "_how"], "left_semi").select("_key", "_node"))
-    leaders = used.groupBy("_key").agg(F.min("_node").alias("_lead"), F.max("_node").alias("_most")).filter("_lead <> _most").select("_key", "_lead")
-    used = written(used.join(leaders, "_key"), "used-keys")
+    # A set with fewer frequent keys than any partner has in common with it has a rare one in common with each.
+    level, need = F.col("_how") % 64, F.shiftright("_how", 6)
+    counted = live.filter("_frequent").groupBy("_node", "_how").agg(F.count(F.lit(1)).cast("int").alias("_many"))
+    rare = live.filter("not _frequent").join(counted, ["_node", "_how"], "left")
+    rare = written(rare.select("_key", "_node", level.cast("byte").alias("_level"), need.alias("_need"), F.coalesce("_many", F.lit(0)).alias("_hidden")), "rare-keys")
+    # The others share as many frequent keys as they need, so one of them is among the first ones but those.
+    place = F.row_number().over(Window.partitionBy("_node", "_how").orderBy("_key"))
+    often = live.filter("_frequent").join(counted, ["_node", "_how"]).filter(F.col("_many") >= need).withColumn("_place", place)
+    often = written(often.filter(F.col("_place") <= F.col("_many") - need + 1).select("_key", "_node", level.cast("int").alias("_level")), "frequent-keys")
     discard(live)
 
-    best = used.filter("_node <> _lead").groupBy("_node", "_lead").agg(F.count(F.lit(1)).alias("_many")).groupBy("_node").agg(F.max(F.struct("_many", "_lead")).alias("_best"))
-    first_pairs = written(best.select(F.col("_best._lead").alias("_a"), F.col("_node").alias("_b")), "pairs")
+    # What two partners have in common at the level where they meet: rare keys, all but the frequent ones.
+    least = lambda n1, n2, h1, h2: F.greatest(F.lit(1), F.greatest(n1, n2) - F.greatest(h1, h2))
+    leaders = rare.groupBy("_key").agg(F.min(F.struct("_node", "_need", "_hidden")).alias("_lead"))
+    best = rare.join(leaders, "_key").filter("_node <> _lead._node").groupBy("_node", F.col("_lead._node").alias("_a"), "_level").agg(F.count(F.lit(1)).alias("_many"), F.max(least(F.col("_need"), F.col("_lead._need"), F.col("_hidden"), F.col("_lead._hidden"))).alias("_least"))
+    best = best.filter("_many >= _least").groupBy("_node").agg(F.max(F.struct("_many", "_a")).alias("_best"))
+    more = often.join(often.groupBy("_key").agg(F.min("_node").alias("_a")), "_key").filter("_node <> _a").groupBy("_node", "_a").agg(F.count(F.lit(1)).alias("_many")).groupBy("_node").agg(F.max(F.struct("_many", "_a")).alias("_best"))
+    first_pairs = written(best.unionByName(more).select(F.col("_best._a").alias("_a"), F.col("_node").alias("_b")).distinct(), "pairs")
+
+    ends = lambda pairs: pairs.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct()
 
-    wanted = written(used.select("_node").distinct().join(firsts, "_node").select("_node", F.col("_first").alias("_id")), "wanted")
-    chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = rows.join(chosen, "_id").select("_node", "_text").mapInArrow(_packed_sets(n), "_node long, _set binary")
-    sets = written(sets, "sets")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = written(nodes.join(firsts, "_node").select("_node", F.col("_first").alias("_id")), "wanted")
+        chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        return written(rows.join(chosen, "_id").select("_node", "_text").mapInArrow(_packed_sets(n), "_node long, _set binary"), "sets")
 
+    sets = sets_of(ends(first_pairs))
     links = written(_links(first_pairs, sets, percent), "links")
     labels = written(components(links), "labels")
     label = F.coalesce(F.col("_label"), F.col("_node"))
-    placed = used.join(labels, "_node", "left").select("_key", "_node", label.alias("_label"))
+    placed = rare.join(labels, "_node", "left").withColumn("_label", label)
     mixed = placed.groupBy("_key").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi")).filter("_lo <> _hi").select("_key")
     placed = written(placed.join(mixed, "_key", "left_semi"), "placed")
-    left = placed.select("_key", F.col("_node").alias("_a"), F.col("_label").alias("_la"))
-    right = placed.select("_key", F.col("_node").alias("_b"), F.col("_label").alias("_lb"))
-    others = left.join(right, "_key").filter("_a < _b and _la <> _lb").select("_a", "_b").distinct()
+    side = lambda n: placed.select("_key", F.col("_node").alias(f"_{n}"), F.col("_label").alias(f"_l{n}"), F.col("_need").alias(f"_n{n}"), F.col("_hidden").alias(f"_h{n}"), *(["_level"] if n == "a" else []))
+    others = side("a").join(side("b"), "_key").filter("_a < _b and _la <> _lb").groupBy("_a", "_b", "_level").agg(F.count(F.lit(1)).alias("_many"), F.max(least(F.col("_na"), F.col("_nb"), F.col("_ha"), F.col("_hb"))).alias("_least"))
+    others = others.filter("_many >= _least").select("_a", "_b").distinct()
     done = first_pairs.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
-    more = _links(others.join(done, ["_a", "_b"], "left_anti"), sets, percent)
-    links = written(links.unionByName(more), "links")
+    others = written(others.join(done, ["_a", "_b"], "left_anti"), "pairs")
+
+    crowd = often.join(labels, "_node", "left").withColumn("_label", label)
+    sizes = crowd.groupBy("_key").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi"), F.count(F.lit(1)).alias("_many")).filter("_lo <> _hi").select("_key", "_many")
+    chunk = F.greatest(F.lit(16.0), F.least(F.lit(float(CHUNK)), F.lit(float(CHUNK_TOKENS)) / F.pow(F.lit(2.0), F.col("_level") + 2)))
+    crowd = crowd.join(sizes, "_key").withColumn("_parts", F.ceil(F.col("_many") / chunk).cast("int")).withColumn("_own", F.pmod(F.xxhash64("_node", "_key"), F.col("_parts")).cast("int"))
+    crowd = written(crowd.select("_key", "_node", "_label", "_own", "_parts"), "crowds")
+
+    needed = ends(others).unionByName(crowd.select("_node")).distinct().join(sets, "_node", "left_anti")
+    sets = sets.unionByName(sets_of(needed))
+    more = _links(others, sets, percent)
+    dealt = crowd.select("_key", "_node", "_label", "_own", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_with")).withColumn("_i", F.least("_own", "_with")).withColumn("_j", F.greatest("_own", "_with"))
+    dealt = dealt.join(sets, "_node").select("_key", "_i", "_j", "_own", "_node", "_label", "_set")
+    blocked = dealt.groupBy("_key", "_i", "_j").applyInArrow(_compared(percent), "_a long, _b long").distinct()
+    more = more.unionByName(blocked)
+    links = written(links.unionByName(more).distinct(), "links")
     labels = components(links)
 
-    ends = links.select(F.col("_a").alias("_node")).unionByName(links.select(F.col("_b").alias("_node"))).groupBy("_node").agg(F.count(F.lit(1)).alias("_links"))
+    degrees = links.select(F.explode(F.array("_a", "_b")).alias("_node")).groupBy("_node").agg(F.count(F.lit(1)).alias("_links"))
     heads = labels.join(firsts, "_node").groupBy("_label").agg(F.min("_first").alias("_component"))
     named = labels.join(heads, "_label").select("_node", "_component")
-    out = profiles.join(firsts, "_node", "left").join(named, "_node", "left").join(ends, "_node", "left")
+    out = profiles.join(firsts, "_node", "left").join(named, "_node", "left").join(degrees, "_node", "left")
     own = F.when(F.col("_n") == 0, F.col("_id")).otherwise(F.coalesce("_component", "_first"))
     back = lambda c: F.when(c != low, c).cast(kind)
     return out.select(back(F.col("_id")).alias(id_col), F.col("_n").alias("n_shingles"), back(own).alias("component_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from larkspur.llm import kernels, repeats
+from larkspur.llm import kernels, ngram_join, repeats
 from larkspur.llm.decontam import contaminated, without_contaminated
 from larkspur.llm.line_dedup import LineRuns, drop_common_lines
 from larkspur.llm.ngram_join import components, similar_documents
@@ -190,7 +190,8 @@ def near_docs(seed):
 
 
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
-def test_groups(spark, n, percent):
+def test_groups(spark, monkeypatch, n, percent):
+    monkeypatch.setattr(ngram_join, "CHUNK", 20 if n == 5 else 1024)  # several chunks
     docs = near_docs(n)
     df = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, component_id int").repartition(6)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in similar_documents(df, n, percent).collect()}
