@@ -219,8 +219,31 @@ def _verified(percent: int):
     return run
 
 
+def _forest(linked: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few of the links as join what all of them join; sets of one label are joined already."""
+    left = np.ones(len(label), dtype=bool)
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+    for start in range(len(label)):
+        stack = [start] if left[start] else []
+        left[start] = False
+        while stack:
+            x = stack.pop()
+            kin = np.flatnonzero(left & (label == label[x]))
+            left[kin] = False
+            stack += kin.tolist()
+            found = np.flatnonzero(linked[x] & left)
+            _, once = np.unique(label[found], return_index=True)
+            found = found[once]
+            left[found] = False
+            a.append(np.full(len(found), x)), b.append(found)
+            stack += found.tolist()
+    none = np.zeros(0, np.int64)
+    return np.concatenate([*a, none]).astype(np.int64), np.concatenate([*b, none]).astype(np.int64)
+
+
 def _compared(percent: int):
-    """Links between two chunks of a key's sets, or within one, of sets that aren't in one component: common shingles by a matrix product."""
+    """Links between two chunks of a key's sets, or within one, that join sets which aren't in one component: common shingles by a matrix product, one row at most for each set."""
 
     def run(table: pa.Table) -> pa.Table:
         node, label, own = (table.column(c).to_numpy() for c in ("_node", "_label", "_own"))
@@ -245,8 +268,8 @@ def _compared(percent: int):
         good = (100 * common >= percent * union) & (node[:, None] < node[None, :]) & (label[:, None] != label[None, :])
         if table.column("_i")[0].as_py() != table.column("_j")[0].as_py():
             good &= own[:, None] != own[None, :]
-        a, b = np.nonzero(good)
-        return pa.table({"_a": pa.array(node[a]), "_b": pa.array(node[b])})
+        a, b = _forest(good | good.T, label)
+        return pa.table({"_a": pa.array(np.minimum(node[a], node[b])), "_b": pa.array(np.maximum(node[a], node[b]))})
 
     return run
 
