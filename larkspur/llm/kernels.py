@@ -7,6 +7,7 @@ cost per document is small and the memory is a small multiple of the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,6 +91,15 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
         yield _join(held)
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that workers that wait hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def _join(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     if len(held) == 1:
         return held[0]
