@@ -108,6 +108,23 @@ class _Block:
         return _doubled(self.rank, ANCHOR, self.length + self.width - 1)[at]
 
 
+def _dealt(key: np.ndarray, ctx: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rank pairs of a block's positions, in text order. Those that an equal pair of the block precedes are settled here, and dealt by their place."""
+    order = np.lexsort((pos, ids, ctx, key))
+    k, c = key[order], ctx[order]
+    known = np.zeros(len(k), dtype=bool)
+    known[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
+    head = np.flatnonzero(~known)
+    origin = order[np.repeat(head, np.diff(np.append(head, len(k))))]
+    flags = np.zeros(len(k), dtype=bool)
+    flags[order] = known & ((ids[order] != ids[origin]) | (pos[order] != pos[origin]))
+    route = np.where(flags, mix(ids.astype(np.uint64) * _A + pos.astype(np.uint64)), key)
+    ctx = np.where(flags, np.int32(0), ctx)
+    for i in range(0, len(route), 1 << 16):
+        cut = slice(i, i + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(route[cut].view(np.int64)), pa.array(ctx[cut]), pa.array(ids[cut]), pa.array(pos[cut]), pa.array(flags[cut])], ["_key", "_ctx", "_doc", "_pos", "_known"])
+
+
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "_text"):
@@ -116,18 +133,7 @@ def _anchor_rows(length: int):
             ids = np.asarray(batch.column("_doc"))[doc]
             pos = (at - b.starts[doc]).astype(np.int32)
             key, ctx = b.rank[at], _short(b.contexts())
-            order = np.lexsort((pos, ids, ctx, key))
-            key, ctx, ids, pos = key[order], ctx[order], ids[order], pos[order]
-            # Not the first of its context in this block: settled here, and dealt by its place.
-            known = np.zeros(len(key), dtype=bool)
-            known[1:] = (key[1:] == key[:-1]) & (ctx[1:] == ctx[:-1])
-            head = np.flatnonzero(~known)
-            origin = np.repeat(head, np.diff(np.append(head, len(key)))) if len(head) else head
-            known &= (ids != ids[origin]) | (pos != pos[origin])
-            route = np.where(known, mix(ids.astype(np.uint64) * _A + pos.astype(np.uint64)), key)
-            for i in range(0, len(key), 1 << 16):
-                cut = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(route[cut].view(np.int64)), pa.array(ctx[cut]), pa.array(ids[cut]), pa.array(pos[cut]), pa.array(known[cut])], ["_key", "_ctx", "_doc", "_pos", "_known"])
+            yield from _dealt(key, ctx, ids, pos)
 
     return run
 
@@ -193,17 +199,7 @@ def _string_rows(length: int):
             rank = _doubled(b.rank, ANCHOR, half)
             one, two = rank[begin], _short(rank[begin + length - half])
             ids, pos = np.asarray(batch.column("_doc"))[doc], (begin - b.starts[doc]).astype(np.int32)
-            order = np.lexsort((pos, ids, two, one))
-            one, two, ids, pos = one[order], two[order], ids[order], pos[order]
-            known = np.zeros(len(one), dtype=bool)
-            known[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
-            head = np.flatnonzero(~known)
-            origin = np.repeat(head, np.diff(np.append(head, len(one))))
-            known &= (ids != ids[origin]) | (pos != pos[origin])
-            route = np.where(known, mix(ids.astype(np.uint64) * _A + pos.astype(np.uint64)), one)
-            for i in range(0, len(one), 1 << 16):
-                cut = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(route[cut].view(np.int64)), pa.array(two[cut]), pa.array(ids[cut]), pa.array(pos[cut]), pa.array(known[cut])], ["_key", "_ctx", "_doc", "_pos", "_known"])
+            yield from _dealt(one, two, ids, pos)
 
     return run
 
