@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import new_path, table
+from larkspur.llm.common import new_path, table, written
 from larkspur.llm.decontam import without_contaminated
 from larkspur.llm.line_dedup import drop_common_lines
 from larkspur.llm.ngram_join import similar_documents
@@ -18,7 +18,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     judged = score_documents(with_trust(docs.select(*COLUMNS), table(spark, sf_dir, "labels")), F.col("_trusted"))
-    return judged.filter("kept").select(*COLUMNS)
+    # Written before the filter: pushed into the scan, it would split each text again for every word of it.
+    return written(judged.select(*COLUMNS, "kept"), "judged").filter("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
