@@ -420,9 +420,9 @@ def ambiguous_anchors(spark, sf):
     return G.ambiguous_anchors(_links(spark, sf))
 
 
-def _edges(spark, sf):
-    """Parts linked to suppliers and back, as a link graph."""
-    li = t(spark, sf, "lineitem").filter("l_linenumber <= 2")
+def _edges(spark, sf, lines="l_linenumber <= 2"):
+    """Parts linked to suppliers and back, as a link graph. The SQL of click_depth reads the first two lines of an order only."""
+    li = t(spark, sf, "lineitem").filter(lines)
     a = li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
     b = li.filter("l_quantity > 25").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
     return a.unionByName(b).distinct()
@@ -430,12 +430,12 @@ def _edges(spark, sf):
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT * FROM (SELECT 'p' || CAST(l_partkey AS VARCHAR) AS src, 's' || CAST(l_suppkey AS VARCHAR) AS dst FROM lineitem WHERE l_linenumber <= 2 UNION ALL SELECT 's' || CAST(l_suppkey AS VARCHAR), 'p' || CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_linenumber <= 2 AND l_quantity > 25)), b AS (SELECT 'p1' AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 6) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY node""")
 def click_depth(spark, sf):
-    return G.click_depth(_edges(spark, sf), "p1", 6)
+    return G.click_depth(_edges(spark, sf), "p1")
 
 
 @query()
 def page_rank(spark, sf):
-    return G.page_rank(_edges(spark, sf), 5)
+    return G.page_rank(_edges(spark, sf, "true"))
 
 
 @query("WITH v AS (SELECT CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem), o AS (SELECT x, row_number() OVER (ORDER BY x) AS i FROM v) SELECT round(2 * sum(i * x) / (count(*) * sum(x)) - CAST(count(*) + 1 AS DOUBLE) / count(*), 6) AS gini, count(*) AS n FROM o")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import content as C
 from larkspur.operators import graph as G
 from larkspur.operators import measure as M
+from larkspur.plans import queries as Q
 from larkspur.streaming import windows as T
 
 
@@ -62,6 +63,23 @@ def test_depth_and_rank(spark):
     assert abs(sum(rank.values()) - 1) < 1e-6 and rank["b"] > rank["x"]
 
 
+def test_depth_and_rank_queries_go_to_the_end(spark, tmp_path):
+    hops = [(i, j) for i in range(1, 7) for j in (i, i + 1)]  # p1 s1 p2 s2 ...: every supplier links on to the next part
+    rows = [(i, i, 1, 1.0) for i in range(1, 7)] + [(j, i, 2, 30.0) for i, j in hops if i != j] + [(1, 9, 5, 1.0)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    depth = {x["node"]: x["depth"] for x in Q.QUERIES["click_depth"](spark, str(tmp_path)).collect()}
+    assert depth == {f"p{i}": 2 * i - 2 for i in range(1, 8)} | {f"s{i}": 2 * i - 1 for i in range(1, 7)}
+    links = {(f"p{a}", f"s{b}") for a, b, *_ in rows} | {(f"s{b}", f"p{a}") for a, b, _, q in rows if q > 25}
+    nodes = {x for e in links for x in e}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(20):
+        out = {v: [b for a, b in links if a == v] for v in nodes}
+        lost = sum(rank[v] for v in nodes if not out[v])
+        rank = {v: (0.15 + 0.85 * lost) / len(nodes) + 0.85 * sum(rank[a] / len(out[a]) for a, b in links if b == v) for v in nodes}
+    got = {x["node"]: x["rank"] for x in Q.QUERIES["page_rank"](spark, str(tmp_path)).collect()}
+    assert got.keys() == nodes and all(abs(got[v] - rank[v]) < 1e-9 for v in nodes)
+
+
 def test_ngram_overlap_and_short_texts(spark):
     words = " ".join("w" + c for c in "abcdefghijklmnopqrst")
     docs = spark.createDataFrame([(1, words), (2, "a b"), (3, None)], "doc_id long, text string")
