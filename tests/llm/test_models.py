@@ -73,6 +73,12 @@ def test_language_model(spark):
     assert score_texts(df.limit(0), F.lit(False)).count() == 0
 
 
+def test_words_of_a_large_input_keep_their_pairs(spark):
+    rows = [(i, "filler " * 15_000) for i in range(40)] + [(100 + i, "zab zcd") for i in range(6)] + [(200, "zab zcd")]
+    out = {x["doc_id"]: x for x in score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 200).collect()}
+    assert out[200]["n_known"] == 3 and out[200]["score"] > out[200]["base_score"] / 2  # zcd follows zab in all of its six places
+
+
 def test_languages(spark):
     r = random.Random(8)
     words = {"en": "the and with that house water tree from have this".split(), "de": "der und mit dass haus wasser baum von haben dieses für über".split(), "fr": "le et avec que maison eau arbre depuis avoir été où".split()}
