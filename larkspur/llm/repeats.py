@@ -19,9 +19,9 @@ already settled, leave:
    places of their first copies) Spark sorts the rank pairs of every string
    past the threshold, ``length`` bytes. All but the first are repeated.
 
-Ranks are 64-bit names and always compared in pairs, of which the second is cut
-to 32 bits, so strings are told apart by 96. Positions that are known
-to be repeated from their own block don't take part in the sort, so a passage
+Ranks are 64-bit names and always compared in pairs, so that strings under one
+equal first rank are still told apart by 64 bits. Positions that are known to be
+repeated from their own block don't take part in the sort, so a passage
 that a third of all documents have gives one row for each block of text.
 """
 
@@ -52,11 +52,6 @@ def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _A + (right ^ _B))
 
 
-def _short(rank: np.ndarray) -> np.ndarray:
-    """The second rank of a pair, in 32 bits."""
-    return (rank >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
-
 def _doubled(rank: np.ndarray, have: int, length: int) -> np.ndarray:
     """Ranks of ``length`` bytes from those of ``have``; the last step overlaps."""
     while have < length:
@@ -119,7 +114,7 @@ def _dealt(key: np.ndarray, ctx: np.ndarray, ids: np.ndarray, pos: np.ndarray) -
     flags = np.zeros(len(k), dtype=bool)
     flags[order] = known & ((ids[order] != ids[origin]) | (pos[order] != pos[origin]))
     route = np.where(flags, mix(ids.astype(np.uint64) * _A + pos.astype(np.uint64)), key)
-    ctx = np.where(flags, np.int32(0), ctx)
+    ctx = np.where(flags, np.int64(0), ctx)
     for i in range(0, len(route), 1 << 16):
         cut = slice(i, i + (1 << 16))
         yield pa.RecordBatch.from_arrays([pa.array(route[cut].view(np.int64)), pa.array(ctx[cut]), pa.array(ids[cut]), pa.array(pos[cut]), pa.array(flags[cut])], ["_key", "_ctx", "_doc", "_pos", "_known"])
@@ -132,7 +127,7 @@ def _anchor_rows(length: int):
             at, doc = b.anchor[b.anchor_row], b.doc[b.anchor_row]
             ids = np.asarray(batch.column("_doc"))[doc]
             pos = (at - b.starts[doc]).astype(np.int32)
-            key, ctx = b.rank[at], _short(b.contexts())
+            key, ctx = b.rank[at], b.contexts().view(np.int64)
             yield from _dealt(key, ctx, ids, pos)
 
     return run
@@ -197,7 +192,7 @@ def _string_rows(length: int):
                 continue
             half = 1 << ((length - 1).bit_length() - 1)
             rank = _doubled(b.rank, ANCHOR, half)
-            one, two = rank[begin], _short(rank[begin + length - half])
+            one, two = rank[begin], rank[begin + length - half].view(np.int64)
             ids, pos = np.asarray(batch.column("_doc"))[doc], (begin - b.starts[doc]).astype(np.int32)
             yield from _dealt(one, two, ids, pos)
 
@@ -266,7 +261,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType
     whole = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_doc"), F.col(id_col).isNull().alias("_null"), whole.alias("_text"))
-    pairs = "_key long, _ctx int, _doc long, _pos int, _known boolean"
+    pairs = "_key long, _ctx long, _doc long, _pos int, _known boolean"
     order = ["_known", "_key", "_ctx", "_doc", "_pos"]
     verdict = "_doc long, _pos int, _kind byte"
     wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

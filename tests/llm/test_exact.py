@@ -109,6 +109,14 @@ def test_repeats_in_small_blocks(spark, monkeypatch):
     assert got == brute_repeats(docs, 100)
 
 
+def test_strings_whose_second_ranks_share_their_upper_half(spark):
+    start = "the passage that all of these documents share in their beginning"
+    pairs = [(27849, 249762), (143447, 214236), (60010, 325332), (41301, 211947)]  # equal in the upper 32 bits of the second rank
+    docs = [(i, start + f"{i:08d} goes on in its very own way..."[:36]) for pair in pairs for i in pair]
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_repeats(docs, 100)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2), st.integers(0, 4), st.integers(0, 3)), max_size=40), st.integers(1, 6))
 def test_verdicts_over_any_batches(rows, size):
