@@ -18,12 +18,13 @@ many common rare keys as g + 1 leaves when the frequent ones are allowed for.
 Sets that consist of frequent keys to a good part are also compared by those.
 
 Candidates are verified exactly, but never as all pairs of a large key: first a
-set against the least set of the keys it has most in common with; then only
-sets that are not in one component yet, as pairs for the rare keys (a bounded
-number each), and for the frequent ones in chunks, each pair of chunks by one
-matrix product, so that no row is made for a pair that isn't a link. Equal sets
-are one node from the start. Components come from large-star and small-star
-rounds.
+set against the least set of the keys it has most in common with; then all
+others, as pairs for the rare keys (a bounded number each), and for the frequent
+ones in chunks, each pair of chunks by one matrix product, which gives a number
+of links for each set and the few links that join components. A pair counts at
+the least frequent key that both sets are compared by, or as a pair if there is
+none, so every link counts once. Equal sets are one node from the start.
+Components come from large-star and small-star rounds.
 """
 
 from __future__ import annotations
@@ -243,10 +244,21 @@ def _forest(linked: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _compared(percent: int):
-    """Links between two chunks of a key's sets, or within one, that join sets which aren't in one component: common shingles by a matrix product, one row at most for each set."""
+    """Links between two chunks of a key's sets, or within one: common shingles by a matrix product.
+
+    Rows ``(_a, _b, null)`` are links that join sets which aren't in one
+    component, one at most for each set; rows ``(_a, null, n)`` the number of
+    links of a set with those that it has no lesser frequent key in common with.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         node, label, own = (table.column(c).to_numpy() for c in ("_node", "_label", "_own"))
+        new_pair = node[:, None] < node[None, :]
+        if table.column("_i")[0].as_py() != table.column("_j")[0].as_py():
+            new_pair &= own[:, None] != own[None, :]
+        new_pair &= ~_met(table.column("_often"), table.column("_key")[0].as_py())
+        if not new_pair.any():
+            return _COMPARED.empty_table()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("_set")]
         size = np.array([len(x) for x in sets], dtype=np.int64)
         every = np.concatenate(sets)
@@ -265,15 +277,37 @@ def _compared(percent: int):
             has[owner[lo:hi], column[lo:hi] - k * width] = 1
             common += has @ has.T
         union = size[:, None] + size[None, :] - common
-        good = (100 * common >= percent * union) & (node[:, None] < node[None, :]) & (label[:, None] != label[None, :])
-        if table.column("_i")[0].as_py() != table.column("_j")[0].as_py():
-            good &= own[:, None] != own[None, :]
-        a, b = _forest(good | good.T, label)
-        return pa.table({"_a": pa.array(np.minimum(node[a], node[b])), "_b": pa.array(np.maximum(node[a], node[b]))})
+        good = (100 * common >= percent * union) & new_pair
+        good |= good.T
+        many = good.sum(axis=1, dtype=np.int64)
+        a, b = _forest(good & (label[:, None] != label[None, :]), label)
+        has = many > 0
+        links = pa.table([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b])), pa.nulls(len(a), pa.int64())], schema=_COMPARED)
+        return pa.concat_tables([links, pa.table([pa.array(node[has]), pa.nulls(int(has.sum()), pa.int64()), pa.array(many[has])], schema=_COMPARED)])
 
     return run
 
 
+_COMPARED = pa.schema([("_a", pa.int64()), ("_b", pa.int64()), ("_n", pa.int64())])
+
+
+def _met(often: pa.ChunkedArray, key: int) -> np.ndarray:
+    """Which two sets have a frequent key below ``key`` in common."""
+    lists = [np.asarray(x.values.to_numpy()) for x in often]
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    keys = np.concatenate(lists)
+    owner, keys = owner[keys < key], keys[keys < key]
+    column = np.unique(keys, return_inverse=True)[1]
+    met = np.zeros((len(lists), len(lists)), dtype=bool)
+    width = 2048
+    for lo in range(0, int(column.max()) + 1 if len(column) else 0, width):
+        inside = (column >= lo) & (column < lo + width)
+        has = np.zeros((len(lists), width), np.float32)
+        has[owner[inside], column[inside] - lo] = 1
+        met |= has @ has.T > 0
+    return met
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("_node").alias("_b"), F.col("_set").alias("_y"))
     two = sets.select(F.col("_node").alias("_a"), F.col("_set").alias("_x"))
@@ -319,8 +353,8 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     than ``n`` words has its whole sequence as its one shingle; null, empty and
     blank texts have none and link with nothing. Returns one row for each row
     of ``docs``: ``id_col``, ``n_shingles``, ``component_id`` (the least id
-    reachable by links, its own included) and ``n_links`` (other sets that were
-    verified as linked with its set, which need not be all of them). Ids are
+    reachable by links, its own included) and ``n_links`` (the number of other
+    sets that its set is linked with, each counted once). Ids are
     integers; a null id counts as the smallest and is returned as null. Rows that
     repeat an id are compared as separate texts; an id with several texts takes
     part in the components of all of them, and each row shows its own text's.
@@ -366,32 +400,32 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     links = written(_links(first_pairs, sets, percent), "links")
     labels = written(components(links), "labels")
     label = F.coalesce(F.col("_label"), F.col("_node"))
-    placed = rare.join(labels, "_node", "left").withColumn("_label", label)
-    mixed = placed.groupBy("_key").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi")).filter("_lo <> _hi").select("_key")
-    placed = written(placed.join(mixed, "_key", "left_semi"), "placed")
-    side = lambda n: placed.select("_key", F.col("_node").alias(f"_{n}"), F.col("_label").alias(f"_l{n}"), F.col("_need").alias(f"_n{n}"), F.col("_hidden").alias(f"_h{n}"), *(["_level"] if n == "a" else []))
-    others = side("a").join(side("b"), "_key").filter("_a < _b and _la <> _lb").groupBy("_a", "_b", "_level").agg(F.count(F.lit(1)).alias("_many"), F.max(least(F.col("_na"), F.col("_nb"), F.col("_ha"), F.col("_hb"))).alias("_least"))
+    side = lambda n: rare.select("_key", F.col("_node").alias(f"_{n}"), F.col("_need").alias(f"_n{n}"), F.col("_hidden").alias(f"_h{n}"), *(["_level"] if n == "a" else []))
+    others = side("a").join(side("b"), "_key").filter("_a < _b").groupBy("_a", "_b", "_level").agg(F.count(F.lit(1)).alias("_many"), F.max(least(F.col("_na"), F.col("_nb"), F.col("_ha"), F.col("_hb"))).alias("_least"))
     others = others.filter("_many >= _least").select("_a", "_b").distinct()
     done = first_pairs.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
     others = written(others.join(done, ["_a", "_b"], "left_anti"), "pairs")
 
     crowd = often.join(labels, "_node", "left").withColumn("_label", label)
-    sizes = crowd.groupBy("_key").agg(F.min("_label").alias("_lo"), F.max("_label").alias("_hi"), F.count(F.lit(1)).alias("_many")).filter("_lo <> _hi").select("_key", "_many")
+    sizes = crowd.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1")
     chunk = F.greatest(F.lit(16.0), F.least(F.lit(float(CHUNK)), F.lit(float(CHUNK_TOKENS)) / F.pow(F.lit(2.0), F.col("_level") + 2)))
     crowd = crowd.join(sizes, "_key").withColumn("_parts", F.ceil(F.col("_many") / chunk).cast("int")).withColumn("_own", F.pmod(F.xxhash64("_node", "_key"), F.col("_parts")).cast("int"))
     crowd = written(crowd.select("_key", "_node", "_label", "_own", "_parts"), "crowds")
 
     needed = ends(others).unionByName(crowd.select("_node")).distinct().join(sets, "_node", "left_anti")
     sets = sets.unionByName(sets_of(needed))
-    more = _links(others, sets, percent)
+    single = written(links.unionByName(_links(others, sets, percent)).select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct(), "links")
+    lists = written(often.groupBy("_node").agg(F.collect_set("_key").alias("_often")), "frequent-lists")
     dealt = crowd.select("_key", "_node", "_label", "_own", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_with")).withColumn("_i", F.least("_own", "_with")).withColumn("_j", F.greatest("_own", "_with"))
-    dealt = dealt.join(sets, "_node").select("_key", "_i", "_j", "_own", "_node", "_label", "_set")
-    blocked = dealt.groupBy("_key", "_i", "_j").applyInArrow(_compared(percent), "_a long, _b long").distinct()
-    more = more.unionByName(blocked)
-    links = written(links.unionByName(more).distinct(), "links")
-    labels = components(links)
-
-    degrees = links.select(F.explode(F.array("_a", "_b")).alias("_node")).groupBy("_node").agg(F.count(F.lit(1)).alias("_links"))
+    dealt = dealt.join(sets, "_node").join(lists, "_node").select("_key", "_i", "_j", "_own", "_node", "_label", "_often", "_set")
+    blocked = written(dealt.groupBy("_key", "_i", "_j").applyInArrow(_compared(percent), "_a long, _b long, _n long"), "compared")
+    labels = components(single.unionByName(blocked.filter("_n is null").select("_a", "_b")).distinct())
+
+    # Pairs with a frequent key in common have been counted there.
+    listed = lambda c: lists.select(F.col("_node").alias(c), F.col("_often").alias(f"_o{c}"))
+    alone = single.join(listed("_a"), "_a", "left").join(listed("_b"), "_b", "left").filter(~F.coalesce(F.arrays_overlap("_o_a", "_o_b"), F.lit(False)))
+    degrees = alone.select(F.explode(F.array("_a", "_b")).alias("_node"), F.lit(1).cast("long").alias("_n"))
+    degrees = degrees.unionByName(blocked.filter("_n is not null").select(F.col("_a").alias("_node"), "_n")).groupBy("_node").agg(F.sum("_n").alias("_links"))
     heads = labels.join(firsts, "_node").groupBy("_label").agg(F.min("_first").alias("_component"))
     named = labels.join(heads, "_label").select("_node", "_component")
     out = profiles.join(firsts, "_node", "left").join(named, "_node", "left").join(degrees, "_node", "left")

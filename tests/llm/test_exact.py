@@ -206,6 +206,19 @@ def test_groups(spark, monkeypatch, n, percent):
     assert got == brute_groups(docs, n, percent)
 
 
+@pytest.mark.parametrize("chunk", [20, 1024])
+def test_every_link_counts_once(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    docs = near_docs(6) + [(8000, near_docs(6)[0][1])]  # an equal set is no other set
+    sets = {d: shingles(t, 4) for d, t in docs}
+    different = [s for s in set(sets.values()) if s]
+    linked = lambda x, y: x != y and 100 * len(x & y) >= 85 * len(x | y)
+    want = {d: sum(linked(s, x) for x in different) for d, s in sets.items()}
+    assert max(want.values()) > 2 * ngram_join.FREQUENT
+    got = {x["doc_id"]: x["n_links"] for x in similar_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(6), 4, 85).collect()}
+    assert got == want
+
+
 def test_groups_of_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (1, "x y z u v w"), (7, "X y z u v w")], "doc_id long, text string")
     got = sorted(((x["doc_id"], x["component_id"]) for x in similar_documents(df).collect()), key=str)
