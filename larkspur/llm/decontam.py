@@ -1,6 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks choose some of the tokens in a span; two passages whose chosen
+Masks choose some of the tokens in a span, so that every stretch which the rule
+admits has a place where one of them reads equal tokens only; two passages whose chosen
 tokens agree get the same hash, whatever stands at the ignored positions. The
 hashes of the test items are joined with those of the documents. A hit fixes
 an item and its offset in a document; the item is then laid over the document
@@ -10,14 +11,17 @@ replaced words are found and chance hits are not. Only SQL functions are used.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import let, written
 
-#: Positions that each mask reads. Fixed values; all span nine tokens.
-MASKS = ((0, 1, 3, 5, 6, 8), (0, 2, 3, 5, 7, 8))
-SPAN = 9
+#: Masks for a width at most, and patterns of replaced tokens up to which they are searched for.
+MOST_MASKS, PATTERNS = 3, 5000
 #: Largest seed table, in rows, that is sent to every task; beyond it the join shuffles.
 BROADCAST_SEEDS = 1_000_000
 
@@ -31,32 +35,68 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda w: F.xxhash64(w))
 
 
-def seeds(hashes: Column) -> Column:
-    """Structs of mask number, first token and hash, for every position and mask."""
-    one = lambda h, m: F.transform(
-        F.sequence(F.lit(0), F.size(h) - SPAN), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(m), *[F.get(h, i + k) for k in MASKS[m]]).alias("seed"))
-    )
-    every = let(hashes, lambda h: F.when(F.size(h) >= SPAN, F.concat(*[one(h, m) for m in range(len(MASKS))])))
-    return every
+def replaced(width: int, min_percent: int) -> int:
+    """Tokens of a stretch that may differ."""
+    return width - -(-width * min_percent // 100)
+
+
+@functools.lru_cache(maxsize=None)
+def masks(width: int, differ: int) -> tuple[tuple[int, ...], ...]:
+    """Masks of which one at least, at some place in ``width`` tokens, reads none of any ``differ`` tokens.
+
+    The heaviest for which few suffice, chosen greedily over all patterns; with
+    too many patterns the run that any of them leaves whole. Always the same.
+    """
+    run = tuple(range(max(1, -(-(width - differ) // (differ + 1)))))
+    if not 0 < differ < width or math.comb(width, differ) > PATTERNS:
+        return (run,)
+    patterns = [sum(1 << i for i in p) for p in itertools.combinations(range(width), differ)]
+    for weight in range(width - differ, len(run), -1):
+        hits = {}
+        for rest in itertools.islice(itertools.combinations(range(1, width), weight - 1), PATTERNS):
+            own = [sum(1 << (i + k) for k in (0, *rest)) for i in range(width - rest[-1])]
+            hits[0, *rest] = {p for p in patterns if any(not p & o for o in own)}
+        left, chosen = set(patterns), []
+        while left and len(chosen) < MOST_MASKS:
+            best = max(hits, key=lambda m: (len(hits[m] & left), [-k for k in m]))
+            left -= hits[best]
+            chosen.append(best)
+        if not left:
+            return tuple(chosen)
+    return (run,)
+
+
+def seeds(hashes: Column, own: list[tuple[int, ...]]) -> Column:
+    """Structs of first token and hash, for every position and mask."""
+    one = lambda h, m: F.when(F.size(h) > m[-1], F.transform(
+        F.sequence(F.lit(0), F.size(h) - 1 - m[-1]), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(str(m)), *[F.get(h, i + k) for k in m]).alias("seed"))
+    )).otherwise(F.array().cast("array<struct<at:int,seed:bigint>>"))
+    return let(hashes, lambda h: F.concat(*[one(h, m) for m in own]))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, window: int = 13, min_percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents that hold a benchmark item or a stretch of it, one row for each document and item.
 
     A document is contaminated by an item if, with the item laid over it at
-    some offset that a seed has hit, a stretch of ``window`` item tokens (all
+    some offset, a stretch of ``window`` item tokens (all
     of a shorter item) has ``min_percent`` of its tokens equal. Returns
     ``id_col``, ``item_col``, ``n_tokens`` of the item, ``n_equal`` and
-    ``at_token``, the offset with most equal tokens (ties: the first).
+    ``at_token``, the contaminated offset with most equal tokens (ties: the
+    first). The masks for a length hit every such stretch.
 
-    Items of fewer than nine tokens are too short to be evidence and match
-    nothing. Null and empty texts match nothing; a null id is an id like any
+    Null and empty texts match nothing; a null id is an id like any
     other. Repeated rows of a document or an item count once for each distinct
     pair of id and text. Empty tables give no rows.
     """
     known = items.select(F.col(item_col).alias("_item"), token_hashes(F.col(item_text)).alias("_tokens")).distinct()
     known = written(known, "items")
-    item_seeds = known.select("_item", F.size("_tokens").alias("_len"), F.xxhash64("_tokens").alias("_variant"), F.explode(seeds(F.col("_tokens"))).alias("_s"))
+    widths = [x["w"] for x in known.select(F.least(F.size("_tokens"), F.lit(window)).alias("w")).distinct().collect() if x["w"] > 0]  # window values at most
+    by_width = {w: list(masks(w, replaced(w, min_percent))) for w in sorted(widths)}
+    used = sorted({m for own in by_width.values() for m in own}) or [(0,)]
+    own_seeds = F.array().cast("array<struct<at:int,seed:bigint>>")
+    for w, own in by_width.items():
+        own_seeds = F.when(F.least(F.size("_tokens"), F.lit(window)) == w, seeds(F.col("_tokens"), own)).otherwise(own_seeds)
+    item_seeds = known.select("_item", F.xxhash64("_tokens").alias("_variant"), F.explode(own_seeds).alias("_s"))
     item_seeds = item_seeds.select("_item", "_variant", F.col("_s.at").alias("_item_at"), F.col("_s.seed").alias("_seed"))
     item_seeds = written(item_seeds, "item-seeds")
     if item_seeds.count() <= BROADCAST_SEEDS:
@@ -64,7 +104,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 13, min_percen
 
     whole = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(whole).alias("_text_id"), F.col(text_col).alias("_text"))
-    doc_seeds = rows.select("_id", "_text_id", F.explode(seeds(token_hashes(F.col("_text")))).alias("_s")).select("_id", "_text_id", F.col("_s.at").alias("_at"), F.col("_s.seed").alias("_seed"))
+    doc_seeds = rows.select("_id", "_text_id", F.explode(seeds(token_hashes(F.col("_text")), used)).alias("_s")).select("_id", "_text_id", F.col("_s.at").alias("_at"), F.col("_s.seed").alias("_seed"))
     hits = doc_seeds.join(item_seeds, "_seed").select("_id", "_text_id", "_item", "_variant", (F.col("_at") - F.col("_item_at")).alias("_offset")).distinct()
     hits = written(hits, "seed-hits")
 

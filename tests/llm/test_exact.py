@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from larkspur.llm import kernels, ngram_join, repeats
-from larkspur.llm.decontam import contaminated, without_contaminated
+from larkspur.llm.decontam import contaminated, masks, replaced, without_contaminated
 from larkspur.llm.line_dedup import LineRuns, drop_common_lines
 from larkspur.llm.ngram_join import components, similar_documents
 
@@ -251,6 +252,26 @@ def test_decontamination(spark):
     assert contaminated(df.limit(0), items).count() == 0 and contaminated(df, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", range(1, 14))
+def test_masks_hit_every_pattern(width):
+    many = replaced(width, 80)
+    own = masks(width, many)
+    for out in itertools.combinations(range(width), many):
+        assert any(not {i + k for k in m} & set(out) for m in own for i in range(width - m[-1])), (width, out, own)
+
+
+def test_decontamination_of_every_pattern(spark):
+    items = {n: [f"i{n}x{i}" for i in range(n)] for n in (5, 9, 13, 15)}
+    docs = []
+    for n, many in ((5, 1), (9, 1), (13, 2), (15, 4)):
+        for out in itertools.combinations(range(n), many):
+            if any(sum(i <= k < i + 13 for k in out) <= (2 if n > 12 else many) for i in range(max(1, n - 12))):
+                docs.append((n, "a b " + " ".join("other" if i in out else w for i, w in enumerate(items[n])) + " c"))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)], "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in contaminated(df, spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")).collect()}
+    assert got == {(i, n) for i, (n, _) in enumerate(docs)}
+
+
 # kernels
 
 
