@@ -4,8 +4,7 @@ The base rules find what their patterns define. The network is trained in
 numpy from labelled spans (begin, inside and outside tags for each kind; the
 loss is the CRF's negative log likelihood) and adds what the patterns miss. It
 reads windows of characters that overlap by half. All kinds need a digit or an
-at sign, so windows without one near their middle have nothing to find, and
-every other one is decoded. A span counts in the window in which it lies
+at sign; every window that has one is decoded. A span counts in the window in which it lies
 furthest from an edge; the spans of all windows of a text are then reconciled:
 base spans stay, a new span may not overlap a base span, a refused match of a
 base pattern or a better new span.
@@ -104,10 +103,9 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _windows(codes: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Starts of the windows whose middle half has a hot character; 0 pads both ends of a text."""
-    if not len(hot):
-        return hot
-    return np.unique((hot + STRIDE // 2) // STRIDE) * STRIDE - STRIDE
+    """Starts of all windows that have a hot character; 0 pads both ends of a text."""
+    last = np.unique(hot // STRIDE) * STRIDE
+    return np.unique((last[:, None] - np.arange(0, WIDTH, STRIDE)).ravel())
 
 
 def _cut(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -299,7 +297,7 @@ def _plausible(kind: int, text: str, lo: int, hi: int) -> bool:
         return len(parts) == 4 and all(x.isascii() and x.isdigit() and len(x) < 4 and int(x) <= 255 for x in parts)
     if kind == 2:
         return 16 <= digits <= 19 and luhn(_only_digits(own)) and not any(c.isalpha() for c in own)
-    return 9 <= digits <= 15 and own[:1] in "+(0123456789" and all(c in "+().- 0123456789" for c in own) and own[:1] in "+(0" and any(c in " -)" for c in own)
+    return 9 <= digits <= 15 and own[:1] in "+(0123456789" and all(c in "+().- 0123456789" for c in own) and any(c in " -)" for c in own)
 
 
 def reconcile(text: str, base: list[tuple[int, int, int]], refused: list[tuple[int, int]], starts: np.ndarray, tags: np.ndarray) -> list[tuple[int, int, int]]:

@@ -152,6 +152,23 @@ def test_tagger_on_held_out_lines():
     assert hit > miss and wrong < 0.1 * hit
 
 
+def test_every_window_with_a_trigger_is_read():
+    name = "firstname.lastname.x @ uni.example"  # its only trigger is the at sign
+    for before in range(2 * pii.STRIDE):
+        codes = pii._codes("." * before + name + "." * 40)
+        starts = pii._windows(codes, np.flatnonzero(codes == 7))
+        at = before + name.index("@")
+        assert starts.tolist() == [s for s in range(-pii.WIDTH, len(codes), pii.STRIDE) if s <= at < s + pii.WIDTH]
+    assert not len(pii._windows(codes, np.zeros(0, np.int64)))
+
+
+def test_labelled_shapes_are_plausible():
+    for text, spans in pii._made_up(1500):
+        for kind, lo, hi in spans:
+            if kind == 3 and not (lo and text[lo - 1].isalnum()) and not text[hi : hi + 1].isalnum():
+                assert pii._plausible(kind, text, lo, hi), text[lo:hi]
+
+
 def test_personal_data(spark):
     df = spark.createDataFrame([(1, "mail a@b.org now", "q"), (2, None, "q"), (3, "", "q"), (4, "ip 10.0.0.1 and 4111 1111 1111 1111", "q"), (4, "ip 10.0.0.1 and 4111 1111 1111 1111", "q")], "doc_id long, text string, spans string")
     out = pii.find_personal_data(df, made_up=60, rounds=10).orderBy("doc_id").collect()
