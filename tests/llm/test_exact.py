@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from larkspur.llm import kernels, ngram_join, repeats
 from larkspur.llm.decontam import contaminated, masks, replaced, without_contaminated
 from larkspur.llm.line_dedup import LineRuns, drop_common_lines
@@ -227,6 +228,13 @@ def test_groups_of_odd_rows(spark):
     assert similar_documents(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "x y z u v w"), (2, "x y z u v w"), (2, "k l m n o p"), (3, "k l m n o p"), (4, "own words of this one text")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((x["doc_id"], x["text"]) for x in corpus_pipeline.ngram_jaccard_join(spark, df, "").collect()), key=str)
+    assert got == [(2, "k l m n o p"), (2, "x y z u v w"), (4, "own words of this one text"), (None, "a b c d e f")]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (300, 300)]
     got = {x["_node"]: x["_label"] for x in components(spark.createDataFrame(links, "_a long, _b long")).collect()}
