@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Click-through rates by position, and how they fade beyond the table.
 CTR_CLEAN = {1: 0.264, 2: 0.121, 3: 0.067, 4: 0.048, 5: 0.034, 6: 0.029, 7: 0.020, 8: 0.014, 9: 0.012, 10: 0.010}
 CTR_WORKING = {1: 0.28, 2: 0.15, 3: 0.10, 4: 0.07, 5: 0.05, 6: 0.04, 7: 0.03, 8: 0.025, 9: 0.02, 10: 0.018}
-PRIORS = {"clean": CTR_CLEAN, "working": CTR_WORKING}
+PRIORS = {"first_page_sage": CTR_CLEAN, "working": CTR_WORKING}
 TAIL_DECAY, TAIL_FLOOR = 0.85, 0.003
 
 
@@ -20,7 +20,7 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def ctr_curve(calibrated: Mapping[int, float] | None = None, prior: str = "clean", aio: bool = False, aio_multiplier: float = 0.39) -> dict[int, float]:
+def ctr_curve(calibrated: Mapping[int, float] | None = None, prior: str = "first_page_sage", aio: bool = False, aio_multiplier: float = 0.39) -> dict[int, float]:
     """Rates for positions 1 to 10: the calibrated one where there is one, else the prior, times the multiplier on pages with an AI overview."""
     base = PRIORS[prior] | {k: v for k, v in (calibrated or {}).items() if k in range(1, 11)}
     return {k: v * (aio_multiplier if aio else 1.0) for k, v in base.items()}

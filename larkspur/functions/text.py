@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,11 +12,29 @@ from pyspark.sql.types import StringType
 
 #: Letters with inner apostrophes or hyphens, or numbers with inner points and commas.
 WORD = "[\\p{L}\\p{Nl}\\p{No}]+(?:[’'ʼ\\-][\\p{L}\\p{Nl}\\p{No}]+)*|\\p{Nd}+(?:[.,]\\p{Nd}+)*"
-CYRILLIC, LATIN = "\\p{IsCyrillic}", "[A-Za-z]"
-#: Marks that writing tools leave behind, tracking parameters, and characters that can't be seen.
-TOOL_MARKS = "oaicite|contentReference|turn\\d+search\\d+|utm_source=chatgpt|:contentReference"
-TRACKING = "[?&]utm_[a-z]+="
-INVISIBLE = "[\\u200B\\u200C\\u200D\\u2060\\uFEFF\\u00AD]"
+#: The letters of the two scripts that look alike.
+CYRILLIC, LATIN = "[\\u0400-\\u04FF\\u0500-\\u052F\\u2DE0-\\u2DFF\\uA640-\\uA69F]", "[A-Za-z\\u00C0-\\u024F]"
+#: Marks that writing tools leave behind, tracking parameters that they add, and characters that can't be seen.
+TOOL_MARKERS = {
+    "contentReference": "contentReference",
+    "oai_citation": "oai_citation",
+    "turn_search": "turn\\d+search\\d+",
+    "attributableIndex": "attributableIndex",
+    "cite_marker": "\\[cite:\\s*\\d+\\]",
+    "span_marker": "\\[span_\\d+\\]\\(start_span\\)",
+    "grok_card": "grok_card",
+    "ppl_file_upload": "ppl-ai-file-upload",
+    "attached_file": "attached_file",
+    "writing_fence": ":::writing",
+}
+GENERATOR_UTM = ("utm_source=chatgpt\\.com", "utm_source=openai", "utm_source=perplexity")
+INVISIBLE_CHARS = ("\\u200B", "\\u200C", "\\u200D", "\\u2060", "\\uFEFF", "\\u202F", "\\u00AD", "\\u2061")
+TOOL_MARKS, TRACKING, INVISIBLE = "|".join(TOOL_MARKERS.values()), "|".join(GENERATOR_UTM), f"[{''.join(INVISIBLE_CHARS)}]"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once for a row, however often ``use`` refers to it, lambdas included."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 @F.pandas_udf(StringType())
@@ -50,9 +69,10 @@ def sentences(text: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Distinct n-grams as text; none if there are fewer than ``n`` words."""
-    made = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+    """Distinct n-grams as 64-bit hashes of their words; none if there are fewer than ``n`` words."""
+    gram = lambda h, i: F.xxhash64(*[F.get(h, i + k) for k in range(n)])
+    made = lambda h: F.when(F.size(h) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: gram(h, i)))).otherwise(F.array().cast("array<bigint>"))
+    return let(F.transform(words, lambda w: F.xxhash64(w)), made)
 
 
 def mixed_script(text: Column) -> Column:

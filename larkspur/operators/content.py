@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import INVISIBLE, TOOL_MARKS, TRACKING, mixed_script, ngrams, sentences, tokens
+from larkspur.functions.text import INVISIBLE, TOOL_MARKS, TRACKING, let, mixed_script, ngrams, sentences, tokens
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -47,7 +47,11 @@ def paragraph_mode(docs: DataFrame) -> DataFrame:
 
 
 def ngram_overlap(docs: DataFrame, others: DataFrame, n: int = 8) -> DataFrame:
-    """Share of a document's n-grams that another text has, for every pair with one in common. ``others``: item_id, text."""
+    """Share of a document's n-grams that another text has, for every pair with one in common. ``others``: item_id, text.
+
+    Grams are 64-bit hashes; those that no other text has leave before any join
+    by shuffle when the others are few, and the pairs are counted map-side.
+    """
     a = docs.select("doc_id", ngrams(tokens(F.col("text")), n).alias("_g")).select("doc_id", F.size("_g").alias("n_grams"), F.explode("_g").alias("g"))
     b = others.select("item_id", F.explode(ngrams(tokens(F.col("text")), n)).alias("g"))
     hit = a.join(b, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"), F.first("n_grams").alias("n_grams"))
@@ -56,12 +60,12 @@ def ngram_overlap(docs: DataFrame, others: DataFrame, n: int = 8) -> DataFrame:
 
 def entity_coverage(docs: DataFrame, entities: Sequence[str]) -> DataFrame:
     """Which entities (runs of tokens) a text has: documents, entity, found in the first 30 % of the tokens."""
-    words = tokens(F.col("text"))
-    whole = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    early = F.concat(F.lit(" "), F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.floor(F.size(words) * 0.3).cast("int"))), " "), F.lit(" "))
-    held = docs.select("doc_id", whole.alias("_a"), early.alias("_b"))
-    inside = lambda c: F.filter(F.array(*[F.lit(e.lower()) for e in entities]), lambda e: F.contains(F.col(c), F.concat(F.lit(" "), e, F.lit(" "))))
-    return held.select("doc_id", inside("_a").alias("found"), inside("_b").alias("early"))
+    listed = F.array(*[F.lit(e.lower()) for e in entities])
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    inside = lambda text: F.filter(listed, lambda e: F.contains(text, F.concat(F.lit(" "), e, F.lit(" "))))
+    early = lambda w: F.slice(w, 1, F.greatest(F.lit(1), F.floor(F.size(w) * 0.3).cast("int")))
+    both = lambda w: F.struct(let(spaced(w), inside).alias("found"), let(spaced(early(w)), inside).alias("early"))
+    return docs.select("doc_id", let(tokens(F.col("text")), both).alias("_e")).select("doc_id", "_e.found", "_e.early")
 
 
 def core_entities(found: DataFrame) -> DataFrame:

@@ -333,7 +333,14 @@ def core_entities(spark, sf):
     return C.core_entities(C.entity_coverage(t(spark, sf, "documents"), ENTITIES))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, 'oaicite|contentReference|turn\\d+search\\d+|utm_source=chatgpt|:contentReference')) AS INTEGER) AS tool_marks, CAST(len(regexp_extract_all(text, '[?&]utm_[a-z]+=')) AS INTEGER) AS tracking, CAST(len(regexp_extract_all(text, '[\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}\\x{00AD}]')) AS INTEGER) AS invisible, CAST(len(list_filter(regexp_extract_all(text, '\\p{L}+'), lambda w: regexp_matches(w, '\\p{Cyrillic}') AND regexp_matches(w, '[A-Za-z]'))) AS INTEGER) AS mixed_script FROM documents")
+# Fixed values, as in the text functions.
+_MARKS = "contentReference|oai_citation|turn\\d+search\\d+|attributableIndex|\\[cite:\\s*\\d+\\]|\\[span_\\d+\\]\\(start_span\\)|grok_card|ppl-ai-file-upload|attached_file|:::writing"
+_UTM = "utm_source=chatgpt\\.com|utm_source=openai|utm_source=perplexity"
+_UNSEEN = "[\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}\\x{202F}\\x{00AD}\\x{2061}]"
+_SCRIPTS = "regexp_matches(w, '[\\x{0400}-\\x{052F}\\x{2DE0}-\\x{2DFF}\\x{A640}-\\x{A69F}]') AND regexp_matches(w, '[A-Za-z\\x{00C0}-\\x{024F}]')"
+
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_MARKS}')) AS INTEGER) AS tool_marks, CAST(len(regexp_extract_all(text, '{_UTM}')) AS INTEGER) AS tracking, CAST(len(regexp_extract_all(text, '{_UNSEEN}')) AS INTEGER) AS invisible, CAST(len(list_filter(regexp_extract_all(text, '\\p{{L}}+'), lambda w: {_SCRIPTS})) AS INTEGER) AS mixed_script FROM documents")
 def text_markers(spark, sf):
     return C.markers(t(spark, sf, "documents"))
 

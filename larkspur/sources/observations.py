@@ -91,8 +91,18 @@ def epochs(log: DataFrame, agenda: str = "SEARCHDATA") -> DataFrame:
 
 #: Headers of exports in several languages.
 HEADERS: Mapping[str, str] = {
-    "date": "date", "дата": "date", "query": "query", "top queries": "query", "запит": "query", "запрос": "query", "page": "page", "top pages": "page", "url": "page", "сторінка": "page", "страница": "page",
-    "clicks": "clicks", "кліки": "clicks", "клики": "clicks", "impressions": "impressions", "покази": "impressions", "показы": "impressions", "ctr": "ctr", "position": "position", "позиція": "position", "позиция": "position", "device": "device", "country": "country",
+    "query": "query", "queries": "query", "top queries": "query",
+    "запрос": "query", "запит": "query", "поисковый запрос": "query",
+    "page": "page", "pages": "page", "top pages": "page", "landing page": "page",
+    "страница": "page", "сторінка": "page",
+    "date": "date", "дата": "date",
+    "country": "country", "страна": "country", "країна": "country",
+    "device": "device", "устройство": "device", "пристрій": "device",
+    "clicks": "clicks", "клики": "clicks", "кліки": "clicks",
+    "impressions": "impressions", "показы": "impressions", "покази": "impressions",
+    "ctr": "ctr",
+    "position": "position", "average position": "position",
+    "позиция": "position", "позиція": "position",
 }
 
 

@@ -35,7 +35,7 @@ DEFAULTS: dict[str, Any] = {
     "seasonality.residual_drop": -0.30,
     "seasonality.min_impressions": 100,
     "segmentation.require_brand_tokens": True,
-    "ctr.prior_curve": "clean",
+    "ctr.prior_curve": "first_page_sage",
     "ctr.aio_multiplier": 0.39,
     "ctr.provisional_below_w": 0.30,
     "mode.steady_state_after_days": 90,
