@@ -35,7 +35,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), length=100, texts=False)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

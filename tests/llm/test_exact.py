@@ -101,8 +101,11 @@ def test_repeats(spark):
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_repeats_in_small_blocks(spark, monkeypatch):
-    docs = repeat_docs(4)
+@pytest.mark.parametrize(("crowd", "size"), [(4096, 8192), (2, 8192), (4096, 3), (0, 5)])
+def test_repeats_in_small_blocks(spark, monkeypatch, crowd, size):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "BATCH", size)
+    docs = repeat_docs(4 + crowd + size)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
@@ -136,9 +139,10 @@ def test_verdicts_over_any_batches(rows, size):
     def batches():
         for i in range(0, len(rows), size):
             part = rows[i : i + size]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.int64()), pa.array([x[3] for x in part], pa.int32()), pa.array([False] * len(part))], ["_key", "_ctx", "_doc", "_pos", "_known"])
+            zeros = [0] * len(part)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip((*zip(*part, strict=True), zeros, zeros, [False] * len(part)), repeats._PAIRS.types, strict=True)], schema=repeats._PAIRS)
 
-    got = sorted((d, p, k) for b in repeats._anchor_verdicts(batches()) for d, p, k in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    got = sorted((d, p, k) for b in repeats._verdicts(batches()) for _, d, p, _, _, k in zip(*(c.to_pylist() for c in b.columns), strict=True))
     assert got == want
 
 
