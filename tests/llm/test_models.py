@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import pii
+from larkspur.llm import lm_score, pii
 from larkspur.llm.html_text import extract_main_text, main_text
 from larkspur.llm.language_id import identify
 from larkspur.llm.lm_score import score_texts
@@ -73,10 +73,59 @@ def test_language_model(spark):
     assert score_texts(df.limit(0), F.lit(False)).count() == 0
 
 
-def test_words_of_a_large_input_keep_their_pairs(spark):
-    rows = [(i, "filler " * 15_000) for i in range(40)] + [(100 + i, "zab zcd") for i in range(6)] + [(200, "zab zcd")]
-    out = {x["doc_id"]: x for x in score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 200).collect()}
-    assert out[200]["n_known"] == 3 and out[200]["score"] > out[200]["base_score"] / 2  # zcd follows zab in all of its six places
+@pytest.mark.parametrize(("shard_mb", "most_words"), [(256, 2_000_000), (0.0003, 12), (256, 0)])
+def test_language_model_by_brute_force(spark, shard_mb, most_words):
+    r = random.Random(17)
+    word = lambda: f"w{int(r.expovariate(0.15))}"
+    texts = {i: " ".join(word() for _ in range(r.randint(0, 80))) for i in range(150)} | {500: "w1 W2 w3", 501: None}
+    tokens = {d: [None, *WORD.findall((t or "").lower()), "</s>"] for d, t in texts.items()}
+    learned = [w for d, w in tokens.items() if d % 7 != 2]
+    count = collections.Counter(x for w in learned for x in w[1:])
+    total, v = sum(count.values()), len(count)
+    quantised = lambda n: 1.3 ** round(math.log(n) / math.log(1.3)) if n else 0.0
+    kept = {w for w, n in count.items() if n >= 3}
+    pairs = collections.Counter((a, b) for w in learned for a, b in zip(w, w[1:]) if b in kept and (a is None or a in kept))
+    pairs = {p: n for p, n in pairs.items() if n >= 3}
+    uses, kinds = collections.Counter(), collections.Counter()
+    for (a, _), n in pairs.items():
+        uses[a] += n
+        kinds[a] += 1
+
+    def score(w):
+        out = 0.0
+        for a, b in zip(w, w[1:]):
+            p = (quantised(count[b] if b in kept else 0) + 1) / (total + v + 1)
+            if kinds[a]:
+                n, t = quantised(pairs.get((a, b), 0)), quantised(kinds[a])
+                p = (n + t * p) / max(max(quantised(uses[a]), n) + t, 1)
+            out += math.log10(min(p, 1))
+        return out
+
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    out = {x["doc_id"]: x for x in score_texts(df, F.col("doc_id") % 7 == 2, min_count=3, shard_mb=shard_mb, most_words=most_words).collect()}
+    for d, w in tokens.items():
+        assert out[d]["n_known"] == sum(count[x] > 0 for x in w[1:])
+        assert out[d]["base_score"] == pytest.approx(sum(math.log10((count[x] + 1) / (total + v + 1)) for x in w[1:]))
+        assert out[d]["score"] == pytest.approx(score(w)), d
+
+
+def test_repeated_rows_are_scored_each(spark):
+    df = spark.createDataFrame([(1, "a b c")] * 3 + [(None, "a b d"), (None, "a b d")], "doc_id long, text string")
+    for options in ({}, {"most_words": 0}, {"shard_mb": 1e-4}):
+        out = score_texts(df, F.lit(False), min_count=1, **options).collect()
+        assert len(out) == 5 and {x["n_known"] for x in out} == {4} and {x["train_tokens"] for x in out} == {20}
+        assert len({(x["doc_id"], round(x["score"], 9), round(x["base_score"], 9)) for x in out}) == 2
+
+
+def test_a_full_filter_ends():
+    full = lm_score.CountFilter(b"\xff" * lm_score.SEGMENT, 1, 1.3, 12)
+    assert set(full.count(np.arange(1000, dtype=np.uint64))) == {1.3**11}
+
+
+def test_planes():
+    r = np.random.default_rng(1)
+    x = r.integers(0, 1 << 48, 100, dtype=np.uint64)
+    assert (lm_score._unpacked(np.frombuffer(lm_score._packed(x, 6), np.uint8).reshape(6, -1)) == x).all()
 
 
 def test_languages(spark):
