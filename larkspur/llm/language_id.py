@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.kernels import blocks, mix
 
 DIMENSIONS, SYMBOLS, SEED = 512, 64, 20240229
+#: Code points of Unicode.
+POINTS = 0x110000
 #: Languages that a profile may have; more is an error, as prototypes are gathered on the driver.
 MOST_LANGUAGES = 10_000
 
@@ -31,13 +33,15 @@ _made: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of every code point of the Basic Multilingual Plane (0: no letter), and the vectors of all n-grams (int8)."""
+    """Symbol of every code point (0: no letter), and the vectors of all n-grams (int8)."""
     if not _made:
-        point = np.arange(1 << 16, dtype=np.uint64)
-        letter = np.fromiter((chr(i).isalpha() for i in range(1 << 16)), dtype=bool, count=1 << 16)
-        lower = np.fromiter((ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(1 << 16)), dtype=np.uint64, count=1 << 16)
+        letter = np.fromiter((chr(i).isalpha() for i in range(POINTS)), dtype=bool, count=POINTS)
+        lower = np.arange(POINTS, dtype=np.uint64)
+        for i in np.flatnonzero(letter).tolist():
+            if len(c := chr(i).lower()) == 1:
+                lower[i] = ord(c)
         symbol = np.where(lower < 128, lower % np.uint64(32), 27 + mix(lower) % np.uint64(SYMBOLS - 27))
-        symbol = np.where(letter & (point == point), symbol, 0).astype(np.uint8)
+        symbol = np.where(letter, symbol, 0).astype(np.uint8)
         random = np.random.default_rng(SEED)
         base = random.choice(np.array([-1, 1], np.int8), size=(SYMBOLS, DIMENSIONS))
         one, two = np.roll(base, 1, axis=1), np.roll(base, 2, axis=1)
@@ -52,7 +56,7 @@ def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     texts = texts.fill_null("")
     sizes = np.asarray(pc.utf8_length(texts)).astype(np.int64)
     points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = symbol[np.minimum(points, 0xFFFF)]
+    letters = symbol[points]
     text = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
     has = np.bincount(text, weights=letters > 0, minlength=len(sizes)) > 0
     before, after = np.zeros_like(letters), np.zeros_like(letters)
@@ -136,8 +140,11 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     Returns ``id_col``, ``held_out``, ``lang_pred`` (a learned language; ``und``
     for null text and text without a letter, and for all if nothing could be
     learned) and ``score``, the cosine cut to 0..1 (0 for ``und``). Ties go to
-    the language that sorts first. Rows are judged one by one; a null in
-    ``held_out`` means the row is learned from.
+    the language that sorts first. Rows are judged one by one, so repeated rows
+    get equal results; a null in ``held_out`` means the row is learned from, a
+    null language teaches nothing. A very long text is read whole, as a block by
+    itself, in some 60 bytes of memory for each character. An empty table gives an
+    empty table. Other columns are ignored, so none can clash.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
