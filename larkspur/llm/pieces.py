@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.kernels import _BYTE, _tables, blocks, buffers, mix
 
 _MARK = "▁"
+#: Bytes from which a unit is looked at for places that no piece crosses, and is segmented by itself; bytes of it that are handled at once.
+LONG, WINDOW = 256, 1 << 16
 #: Log probability of a byte piece.
 BYTE_LOG = -12.0
 
@@ -107,6 +109,96 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _lattice(pieces: Pieces, data: np.ndarray, starts: int) -> np.ndarray:
+    """[length, start]: the piece of each length at the first ``starts`` bytes, -1 where there is none; characters without a piece as byte pieces."""
+    longest = pieces.longest
+    found = np.full((longest + 1, starts), -1, np.int32)
+    node, where = np.zeros(starts, np.int32), np.arange(starts)
+    for n in range(1, longest + 1):
+        ok = where + n <= len(data)
+        node, where = node[ok], where[ok]
+        after = np.minimum(pieces.base[node] + data[where + n - 1], len(pieces.check) - 1)
+        ok = (pieces.check[after] == node) & (after > 0)
+        node, where = after[ok], where[ok]
+        if not len(node):
+            break
+        found[n, where] = pieces.piece[node]
+    lead = data[:starts]
+    width = _char_width(lead)
+    chars = np.flatnonzero(width)
+    lone = chars[found[np.minimum(width[chars], longest), chars] < 0]
+    spelt = np.repeat(lone, width[lone]) + (np.arange(int(width[lone].sum())) - np.repeat(np.cumsum(width[lone]) - width[lone], width[lone]))
+    spelt = spelt[spelt < starts]
+    # A character that began before these bytes: its bytes here are spelt if no piece covers them.
+    found[1, spelt] = pieces.byte_id[lead[spelt]]
+    return found
+
+
+def _char_width(lead: np.ndarray) -> np.ndarray:
+    return np.where(lead < 0x80, 1, np.where(lead < 0xC0, 0, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4))))
+
+
+def _windows_of(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of a unit that begin with a character."""
+    start = 0
+    while start < len(data):
+        stop = min(len(data), start + WINDOW)
+        while stop < len(data) and 0x80 <= data[stop] < 0xC0:
+            stop += 1
+        yield start, stop
+        start = stop
+
+
+def _uncrossed(pieces: Pieces, data: np.ndarray) -> np.ndarray:
+    """Characters inside a unit before which every segmentation breaks, as no piece crosses their start."""
+    change = np.zeros(len(data) + pieces.longest + 2, np.int32)
+    for start, stop in _windows_of(data):
+        found = _lattice(pieces, data[start : stop + pieces.longest], stop - start)
+        for n in range(2, pieces.longest + 1):
+            at = np.flatnonzero(found[n] >= 0) + start
+            change[at + 1] += 1
+            change[at + n] -= 1
+    crossed = np.cumsum(change)[: len(data)] > 0
+    crossed[0] = True
+    return np.flatnonzero(~crossed & ((data < 0x80) | (data >= 0xC0)))
+
+
+def _long_unit(pieces: Pieces, data: np.ndarray, noise) -> tuple[list[int], list[int]]:
+    """Ends and ids of the pieces of a sampled segmentation of one unit, the last one first.
+
+    The forward sums are kept for every byte, the lattice for one window at a time.
+    """
+    log, longest = np.append(pieces.log, -np.inf), pieces.longest
+    alpha = np.full(len(data) + 1 + longest, -np.inf)  # the tail takes what is written past the end
+    alpha[0] = 0.0
+    stretches = list(_windows_of(data))
+    for start, stop in stretches:
+        found = _lattice(pieces, data[start : stop + longest], stop - start)
+        weight = np.ascontiguousarray(log[found[1:]].T)  # [start, length]
+        for i in np.flatnonzero((found >= 0).any(axis=0)).tolist():
+            if alpha[start + i] > -np.inf:
+                np.logaddexp(alpha[start + i + 1 : start + i + 1 + longest], alpha[start + i] + weight[i], out=alpha[start + i + 1 : start + i + 1 + longest])
+    ends, ids, end = [], [], len(data)
+    held, base = None, len(data) + 1
+    while end > 0:
+        if max(0, end - longest) < base:  # the lattice of the bytes before
+            base = max(0, end - WINDOW)
+            while base and 0x80 <= data[base] < 0xC0:
+                base -= 1
+            held = _lattice(pieces, data[base : end + longest], end - base)
+        reach = min(longest, end)
+        n = np.arange(1, reach + 1)
+        own = held[n, end - n - base]
+        share = np.exp(alpha[end - n] + log[own] - alpha[end])
+        total = np.cumsum(share)
+        k = int(np.searchsorted(total, noise(end), side="right"))
+        if k >= reach or share[k] <= 0:  # rounding
+            k = int(np.flatnonzero(share > 0)[-1])
+        ends.append(end), ids.append(int(own[k]))
+        end -= k + 1
+    return ends, ids
+
+
 def encode_block(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts end to end, and their offsets. A space stands before each text that isn't empty."""
     n_texts = len(offsets) - 1
@@ -119,6 +211,27 @@ def encode_block(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np
     text[np.repeat(moved[:-1] + full - offsets[:-1], sizes) + np.arange(len(data))] = data
     starts = _units(text, moved)
     lengths = np.diff(np.append(starts, len(text)))
+    for at, size in [(a, n) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True) if n >= LONG]:
+        starts = np.append(starts, at + _uncrossed(pieces, text[at : at + size]))
+    starts = np.sort(starts)
+    lengths = np.diff(np.append(starts, len(text)))
+    long = lengths >= LONG
+    longs, starts, lengths = list(zip(starts[long].tolist(), lengths[long].tolist(), strict=True)), starts[~long], lengths[~long]
+    chosen = np.full(len(text) + 1, -1, np.int32)
+    key = mix(keys.astype(np.uint64) + np.uint64(seed % (1 << 64)) * np.uint64(0x9E3779B97F4A7C15))
+
+    def random(owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Between 0 and 1, from the key, the seed and the place in the text."""
+        noise = mix(key[owner] + (place - moved[owner]).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        return (noise >> np.uint64(11)).astype(np.float64) / (1 << 53)
+
+    for at, size in longs:
+        who = np.searchsorted(moved, [at], side="right") - 1
+        ends, ids = _long_unit(pieces, text[at : at + size], lambda end: random(who, np.array([at + end]))[0])  # noqa: B023
+        chosen[at + np.array(ends)] = ids
+    if not len(starts):
+        ends = np.flatnonzero(chosen >= 0)
+        return chosen[ends], np.searchsorted(ends, moved, side="right")
     powers, inverse = _tables(len(text) + 1)
     total = np.zeros(len(text) + 1, np.uint64)
     np.cumsum(_BYTE[text] * powers[: len(text)], out=total[1:])
@@ -150,8 +263,7 @@ def encode_block(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np
             break
         found[n, where] = pieces.piece[node]
     # Characters without a piece are spelt in bytes.
-    lead = buffer[inside]
-    width = np.where(lead < 0x80, 1, np.where(lead < 0xC0, 0, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4))))
+    width = _char_width(buffer[inside])
     chars, width = inside[width > 0], width[width > 0]
     lone = found[np.minimum(width, longest), chars] < 0
     chars, width = chars[lone], width[lone]
@@ -176,13 +288,10 @@ def encode_block(pieces: Pieces, data: np.ndarray, offsets: np.ndarray, keys: np
     # Backward, all occurrences at once.
     owner = np.searchsorted(moved, starts, side="right") - 1
     left, base = lengths.copy(), at[unit]
-    chosen = np.full(len(text) + 1, -1, np.int32)
     live = np.arange(len(starts))
-    key = keys.astype(np.uint64) + np.uint64(seed % (1 << 64)) * np.uint64(0x9E3779B97F4A7C15)
     while len(live):
         end, place = base[live] + left[live], starts[live] + left[live]
-        noise = mix(mix(key[owner[live]]) + (place - moved[owner[live]]).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-        u = (noise >> np.uint64(11)).astype(np.float64) / (1 << 53)
+        u = random(owner[live], place)
         took, most, acc = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64), np.zeros(len(live))
         for n in range(1, min(longest, int(left[live].max())) + 1):
             w = share[n, end]
@@ -251,21 +360,24 @@ def encode(docs: DataFrame, pieces, seed: int = 0, key: Column | None = None, id
 
     ``pieces`` is a broadcast :class:`Pieces`. ``key`` (default: a hash of
     ``id_col``) and ``seed`` fix the sample: rows with equal keys and texts get
-    equal segmentations. Null and empty texts have no pieces. An input column
-    called ``ids_col`` is replaced.
+    equal segmentations. Null and empty texts have no pieces, an empty table gives
+    an empty table. An input column called ``ids_col`` is replaced; no other name
+    can clash. A long stretch without spaces is cut where no piece crosses; one
+    that can't be cut is segmented by itself, with 8 bytes kept for each of its bytes.
     """
     key = F.xxhash64(id_col) if key is None else key
     cols = [c for c in docs.columns if c != ids_col]
-    rows = docs.select(*cols, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), key.cast("long").alias("_key"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*cols).schema)
-    return rows.mapInArrow(_encode(pieces, seed), f"{fields}, _ids array<int>").withColumnRenamed("_ids", ids_col)
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], F.coalesce(F.col(text_col), F.lit("")).alias("_text"), key.cast("long").alias("_key"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema[:-2])
+    return renamed.mapInArrow(_encode(pieces, seed), f"{fields}, _ids array<int>").toDF(*cols, ids_col)
 
 
 def decode(rows: DataFrame, pieces, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:
     """All columns of ``rows`` but ``ids_col``, and the text its pieces spell. Null and empty lists spell empty text."""
     cols = [c for c in rows.columns if c not in (ids_col, text_col)]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*cols).schema)
-    return rows.select(*cols, F.col(ids_col).alias("_ids")).mapInArrow(_decode(pieces), f"{fields}, _decoded string").withColumnRenamed("_decoded", text_col)
+    renamed = rows.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], F.col(ids_col).alias("_ids"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in renamed.schema[:-1])
+    return renamed.mapInArrow(_decode(pieces), f"{fields}, _decoded string").toDF(*cols, text_col)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:

@@ -66,3 +66,28 @@ def test_samples_follow_the_lattice(model):
     total = sum(math.exp(w) for _, w in every)
     assert max(abs(seen[p] / n - math.exp(w) / total) for p, w in every) < 0.015
     assert set(seen) <= {p for p, _ in every}
+
+
+def test_long_units_are_segmented_alike(model, monkeypatch):
+    texts = ["internationalisation" * 12, "你好世界的是一二三" * 40, "aaaa" * 100, "𝒳𝒴é漢" * 60, "x" * 300 + " y " + "ab" * 200]
+    monkeypatch.setattr(pieces, "LONG", 1 << 40)
+    whole = coded(model, texts, range(5))
+    for long, window in ((8, 1 << 16), (8, 50), (256, 70)):
+        monkeypatch.setattr(pieces, "LONG", long)
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        cut = coded(model, texts, range(5))
+        assert np.array_equal(cut[0], whole[0]) and np.array_equal(cut[1], whole[1])
+
+
+def test_megabytes_without_a_space(model):
+    for text in ("漢字仮名" * 90_000, "a" * 300_000):
+        ids, bounds = coded(model, [text], [1])
+        data, _ = pieces.decode_block(model, ids, bounds)
+        assert data.tobytes() == text.encode()
+
+
+def test_clashing_columns(spark, model):
+    df = spark.createDataFrame([(1, "a b", 7, 8, 9, "d")], "doc_id long, text string, _text int, _key int, _ids int, decoded string")
+    shared = spark.sparkContext.broadcast(model)
+    out = pieces.decode(pieces.encode(df, shared), shared)
+    assert out.columns == ["doc_id", "text", "_text", "_key", "_ids", "decoded"] and tuple(out.first()) == (1, "a b", 7, 8, 9, "a b")
