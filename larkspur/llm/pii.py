@@ -6,8 +6,8 @@ loss is the CRF's negative log likelihood) and adds what the patterns miss. It
 reads windows of characters that overlap by half. All kinds need a digit or an
 at sign; every window that has one is decoded. A span counts in the window in which it lies
 furthest from an edge; the spans of all windows of a text are then reconciled:
-base spans stay, a new span may not overlap a base span, a refused match of a
-base pattern or a better new span.
+base spans stay, a new span may not overlap a base span or a better new span, nor
+be a match that the base rule refused.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import least_by_hash
+from larkspur.llm.common import least_by_hash, written
 from larkspur.llm.kernels import blocks
 
 KINDS = ("email", "ip", "card", "phone")
-WIDTH, STRIDE, HIDDEN = 64, 32, 12
+WIDTH, STRIDE, HIDDEN = 64, 32, 16
 
 # The base patterns. An address is found from its at sign, and a
 # run of digits only from its first, which gives the same leftmost matches in linear time.
@@ -47,7 +47,7 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(kind, start, end) of the base rules by kind, then start; and the matches that their checks refuse."""
     found, refused = [], []
     if "@" in text:
@@ -62,13 +62,14 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
             at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            ok = all(len(x.lstrip("0")) <= 3 and int(x[-4:]) <= 255 and int(x) <= 255 for x in m[0].split(".") if len(x) < 4000) and all(len(x) < 4000 for x in m[0].split("."))
-            found.append((1, *m.span())) if ok else refused.append(m.span())
+            parts = [x.lstrip("0") for x in m[0].split(".")]
+            ok = all(len(x) <= 3 and int(x or "0") <= 255 for x in parts)
+            found.append((1, *m.span())) if ok else refused.append((1, *m.span()))
         for m in _CARD.finditer(text):
             digits = _only_digits(m[0])
-            found.append((2, *m.span())) if 16 <= len(digits) <= 19 and luhn(digits) else refused.append(m.span()) if len(digits) > 12 else None
+            found.append((2, *m.span())) if 16 <= len(digits) <= 19 and luhn(digits) else refused.append((2, *m.span())) if len(digits) > 12 else None
         for m in _PHONE.finditer(text):
-            found.append((3, *m.span())) if 8 <= len(_only_digits(m[0])) <= 15 else refused.append(m.span())
+            found.append((3, *m.span())) if 8 <= len(_only_digits(m[0])) <= 15 else refused.append((3, *m.span()))
     return found, refused
 
 
@@ -173,7 +174,7 @@ class Tagger:
             out[:, t - 1] = link[t][rows, out[:, t]]
         return out
 
-    def fit(self, codes: np.ndarray, gold: np.ndarray, rounds: int = 240, size: int = 96, rate: float = 0.02, seed: int = 11) -> None:
+    def fit(self, codes: np.ndarray, gold: np.ndarray, rounds: int = 600, size: int = 96, rate: float = 0.02, seed: int = 11) -> None:
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(x) for k, x in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
@@ -266,21 +267,39 @@ def _made_up(n: int, seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]
     return out
 
 
-def train(labelled: list[tuple[str, list[tuple[int, int, int]]]], seed: int = 7, rounds: int = 240) -> Tagger:
-    """Fit a tagger on texts with their spans (kind, start, end)."""
-    codes, gold = [], []
-    for text, spans in labelled:
-        own = _codes(text)
-        tags = np.zeros(len(own), np.int8)
-        for k, lo, hi in spans:
-            if not tags[lo:hi].any():
-                tags[lo:hi], tags[lo] = 2 * k + 2, 2 * k + 1
-        starts = _windows(own, np.array([m.start() for m in _TRIGGER.finditer(text)], np.int64))
-        if len(starts):
-            codes.append(_cut(own, starts)), gold.append(_cut(tags, starts))
+def _labelled(text: str, spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and tags of all windows of a text that have a trigger."""
+    own = _codes(text)
+    tags = np.zeros(len(own), np.int8)
+    for k, lo, hi in spans:
+        if not tags[lo:hi].any():
+            tags[lo:hi], tags[lo] = 2 * k + 2, 2 * k + 1
+    starts = _windows(own, np.flatnonzero((own == 6) | (own == 7)))
+    return _cut(own, starts), _cut(tags, starts)
+
+
+def _learnable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows in which every digit and at sign belongs to a base span, so that nothing the rules miss is taught as outside."""
+    for batch in blocks(batches, "_text"):
+        codes, tags = [], []
+        for text in batch.column("_text").to_pylist():
+            spans = base_spans(text)[0]
+            if spans:
+                c, t = _labelled(text, spans)
+                good = ((t > 0) | (c != 6) & (c != 7)).all(axis=1) & (t > 0).any(axis=1)
+                codes.append(c[good]), tags.append(t[good])
+        if codes:
+            out = [pa.array([row.tobytes() for row in np.concatenate(x).astype(np.int8)], pa.binary()) for x in (codes, tags)]
+            yield pa.RecordBatch.from_arrays(out, ["_codes", "_tags"])
+
+
+def train(labelled: list[tuple[str, list[tuple[int, int, int]]]], windows: list[tuple[bytes, bytes]] = (), seed: int = 7, rounds: int = 600) -> Tagger:
+    """Fit a tagger on texts with their spans (kind, start, end), and on windows of codes with their tags."""
+    pairs = [_labelled(text, spans) for text, spans in labelled]
+    pairs += [tuple(np.frombuffer(x, np.int8).reshape(1, -1) for x in pair) for pair in windows]
     tagger = Tagger(seed)
-    if codes:
-        tagger.fit(np.concatenate(codes).astype(np.int64), np.concatenate(gold).astype(np.int64), rounds)
+    if sum(len(c) for c, _ in pairs):
+        tagger.fit(*(np.concatenate(x).astype(np.int64) for x in zip(*pairs, strict=True)), rounds)
     return tagger
 
 
@@ -300,7 +319,7 @@ def _plausible(kind: int, text: str, lo: int, hi: int) -> bool:
     return 9 <= digits <= 15 and own[:1] in "+(0123456789" and all(c in "+().- 0123456789" for c in own) and any(c in " -)" for c in own)
 
 
-def reconcile(text: str, base: list[tuple[int, int, int]], refused: list[tuple[int, int]], starts: np.ndarray, tags: np.ndarray) -> list[tuple[int, int, int]]:
+def reconcile(text: str, base: list[tuple[int, int, int]], refused: list[tuple[int, int, int]], starts: np.ndarray, tags: np.ndarray) -> list[tuple[int, int, int]]:
     """All spans of a text: the base ones and those of its windows, by kind, then start."""
     new: dict[tuple[int, int, int], int] = {}
     for w, row in zip(starts.tolist(), tags, strict=True):
@@ -318,11 +337,11 @@ def reconcile(text: str, base: list[tuple[int, int, int]], refused: list[tuple[i
                 i = j
             else:
                 i += 1
-    taken = [(lo, hi) for _, lo, hi in base] + refused
+    taken, refused = [(lo, hi) for _, lo, hi in base], set(refused)
     out = list(base)
     for (kind, lo, hi), edge in sorted(new.items(), key=lambda x: (-x[1], x[0][1], x[0])):
         lo, hi = max(lo, 0), min(hi, len(text))
-        if edge > 0 and lo < hi and not any(a < hi and lo < b for a, b in taken) and _plausible(kind, text, lo, hi):
+        if edge > 0 and lo < hi and not any(a < hi and lo < b for a, b in taken) and (kind, lo, hi) not in refused and _plausible(kind, text, lo, hi):
             out.append((kind, lo, hi))
             taken.append((lo, hi))
     return sorted(out)
@@ -364,23 +383,25 @@ def _find(shared):
     return run
 
 
-def find_personal_data(docs: DataFrame, sample: int = 300, made_up: int = 1200, rounds: int = 240, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_personal_data(docs: DataFrame, sample: int = 4000, made_up: int = 3000, rounds: int = 600, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Personal data in every row.
 
-    The network learns from ``made_up`` generated lines and from the base spans
-    of at most ``sample`` texts that have a digit or an at sign, the least by a
-    hash of id and text: the bound on what reaches the driver. Returns
+    The network learns from ``made_up`` generated lines and from at most
+    ``sample`` different windows of 64 characters of the texts, labelled by the base
+    rules, the least by a hash: the bound on what reaches the driver. Returns
     ``id_col``, ``n_email``, ``n_ip``, ``n_card`` and ``n_phone`` (base spans),
     ``base_sha256`` of the base spans, and ``spans``, base and new ones, as
-    kind:start:end by kind, then start, in code points. Null text is empty text.
-    Rows are judged one by one, so repeated rows give equal results.
+    kind:start:end by kind, then start, in code points. Base spans have any
+    length; a new one lies inside a window, so it has at most 62 characters.
+    Null text is empty text. Rows are judged one by one, so repeated rows give
+    equal results, and a very long text is read whole. An empty table gives an
+    empty table. Other columns are ignored, so none can clash.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    some = rows.filter(F.col("_text").rlike("[0-9@]")).select("_id", F.expr("substring(_text, greatest(1, regexp_instr(_text, '[0-9@]') - 200), 2000)").alias("_text"))
-    some = least_by_hash(some, sample, "_id", "_text")
-    labelled = [(x["_text"], base_spans(x["_text"])[0]) for x in some.collect()] + _made_up(made_up)
-    shared = spark.sparkContext.broadcast(train(labelled, rounds=rounds))
+    windows = rows.filter(F.col("_text").rlike("[0-9@]")).select("_text").mapInArrow(_learnable, "_codes binary, _tags binary").distinct()
+    some = least_by_hash(written(windows, "pii-windows"), sample, "_codes", "_tags").collect()
+    shared = spark.sparkContext.broadcast(train(_made_up(made_up), [(bytes(x["_codes"]), bytes(x["_tags"])) for x in some], rounds=rounds))
     out = rows.mapInArrow(_find(shared), f"_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     return out.withColumnRenamed("_id", id_col)

@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -224,3 +225,30 @@ def test_personal_data(spark):
     assert [(x["n_email"], x["n_ip"], x["n_card"], x["n_phone"]) for x in out] == [(1, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (0, 1, 1, 0), (0, 1, 1, 0)]
     assert "email:5:12" in out[0]["spans"].split(",") and html.escape("") == ""
     assert pii.find_personal_data(df.limit(0), made_up=20, rounds=2).count() == 0
+
+
+def test_html_keeps_paragraphs_of_the_article():
+    page = "<article><p>One.</p><p class='search-results-note'>Two.</p><div class='promotion-story'><p>Three.</p></div><figure><img><figcaption>Four.</figcaption></figure><p class=notice>Five.</p><div class='ad-slot'>no</div><div class='comments'><p>no</p></div></article><div>outside</div>"
+    assert main_text(page) == "One.\nTwo.\nThree.\nFour.\nFive."
+    body = "A paragraph that is long enough for the curve to surge past its threshold, all by itself."
+    teasers = f"<article>Teaser</article><div><p>{body}</p><p>{body}</p></div><article>Teaser</article>"
+    assert body in main_text(teasers)
+
+
+def test_html_in_linear_time():
+    start = time.perf_counter()
+    assert main_text("<article>" + "<b>" * 300_000 + "text" + "</i>" * 300_000 + "</article>") == "text"
+    assert main_text("<article><p>text</p>" + "<div>" * 200_000) == "text"
+    assert time.perf_counter() - start < 30
+
+
+def test_letters_beyond_the_first_plane(spark):
+    rows = [(1, "𝒳𝒴𝒵 𝒳𝒴𝒵", "x"), (2, "abc abc", "a"), (5, "𝒳𝒴𝒵", None), (10, "😀", None)]
+    got = {x["doc_id"]: x["lang_pred"] for x in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") % 5 == 0).collect()}
+    assert got == {1: "x", 2: "a", 5: "x", 10: "und"}
+
+
+def test_addresses_with_many_zeros():
+    long = "0" * 5000
+    assert pii.base_spans(f"{long}1.2.3.4 x")[0] == [(1, 0, 5007)]
+    assert pii.base_spans(f"{long}.2.3.0255")[0] == [(1, 0, 5009)] and not pii.base_spans(f"1{long}.2.3.4")[0]
