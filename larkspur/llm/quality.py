@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import least_by_hash, let, split_words
+from larkspur.llm.common import least_by_hash, let, own_name, split_words
 
 BUCKETS = 1 << 14
 
@@ -80,8 +80,9 @@ def with_trust(docs: DataFrame, labels: DataFrame, most: int = 20_000, id_col: s
     the bound on what is sent to every task. The raw corpus is all of ``docs``.
     """
     good = labels.groupBy(F.col(id_col).alias("_good")).agg(F.min(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("_all"))
-    good = least_by_hash(good.filter("_all and _good is not null"), most, "_good").select("_good", F.lit(True).alias("_trusted"))
-    return docs.drop("_trusted").join(F.broadcast(good), F.col(id_col) == F.col("_good"), "left").drop("_good")
+    name = own_name(docs, "_good")
+    good = least_by_hash(good.filter("_all and _good is not null"), most, "_good").select(F.col("_good").alias(name), F.lit(True).alias("_trusted"))
+    return docs.drop("_trusted").join(F.broadcast(good), F.col(id_col) == F.col(name), "left").drop(name)
 
 
 def score_documents(docs: DataFrame, trusted: Column, threshold: float = -0.1, min_words: int = 50, max_repeat_percent: int = 50, buckets: int = BUCKETS, text_col: str = "text") -> DataFrame:
@@ -89,17 +90,21 @@ def score_documents(docs: DataFrame, trusted: Column, threshold: float = -0.1, m
 
     Adds ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
     ``n_repeat_words``, ``base_failed``, ``score`` and ``kept`` to the columns
-    of ``docs``, in place of any of these names. Null, empty or blank text has
-    no words: its score is 0 and it fails the base rules. Rows are judged one by
-    one, so repeated rows get equal verdicts. A null in ``trusted`` counts as not trusted.
+    of ``docs``, in place of any of these names; no other name can clash. Null,
+    empty or blank text has no words: its score is 0 and it fails the base rules.
+    Rows are judged one by one, so repeated rows get equal verdicts; a score that
+    equals ``threshold`` is kept. A null in ``trusted`` counts as not trusted. A
+    very long text is one row with its words. An empty table gives an empty table.
     """
     trusted = F.coalesce(trusted, F.lit(False))
     weight = F.lit(bucket_weights(docs, trusted, buckets, text_col=text_col))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
     base = [c for c in docs.columns if c not in names]
-    held = docs.select(*base, split_words(F.col(text_col)).alias("_words"))
     mean = lambda g: F.aggregate(g, F.lit(0.0), lambda acc, b: acc + F.get(weight, b)) / F.size(g)
-    score = F.when(F.size("_words") == 0, F.lit(0.0)).otherwise(let(ngram_buckets(F.col("_words"), buckets), mean))
-    counted = held.select(*base, *[c.alias(k) for k, c in text_counts(F.col(text_col), F.col("_words")).items()], score.alias("score"))
+    score = lambda w: F.when(F.size(w) == 0, F.lit(0.0)).otherwise(let(ngram_buckets(w, buckets), mean))
+    found = own_name(docs, "_found")
+    # One expression over the words, so that a filter pushed below can't split a text again for each of them.
+    every = let(split_words(F.col(text_col)), lambda w: F.struct(*[c.alias(k) for k, c in text_counts(F.col(text_col), w).items()], score(w).alias("score")))
+    counted = docs.select(*base, every.alias(found)).select(*base, f"{found}.*")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
