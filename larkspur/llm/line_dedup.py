@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import SPACE_CHARS, ascii_lower, discard, let, new_path, written
+from larkspur.llm.common import SPACE_CHARS, ascii_lower, discard, let, new_path, own_name, written
 
 KEY = ["_k1", "_k2"]
+#: Common lines, of 16 bytes each, up to which their keys are sent to every task; more are joined by merge.
+BROADCAST_KEYS = 1_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -78,9 +80,10 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
     is shorter than ``min_chars`` are never dropped. Null text is handled, and
     returned, as empty text (one empty line). Rows that repeat an id and a text
     count as one document and all get the same result; a null id is an id like
-    any other. An empty table gives an empty table. Returns the input columns
-    with the remaining text, plus ``n_lines`` and ``n_dropped`` (which replace
-    input columns of these names).
+    any other. An empty table gives an empty table. A very long text is one row
+    while it is split and put together again. Returns the input columns with the
+    remaining text, plus ``n_lines`` and ``n_dropped`` (which replace input
+    columns of these names; no other name can clash).
     """
     spark = docs.sparkSession
     cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
@@ -99,17 +102,19 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, b
         index.add(lines.filter(F.col("_batch") == batch).select("_r1", *KEY).distinct())
     common = written(index.common(), "common-lines")
 
-    dropped = lines.join(common.hint("merge"), KEY, "left_semi").select("_r1", "_r2", "_pos").distinct()
-    dropped = dropped.groupBy("_r1", "_r2").agg(F.sort_array(F.collect_list("_pos")).alias("_gone"))
-    gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
-    joined = docs.select(*cols).withColumns({"_r1": row_id[0], "_r2": row_id[1]}).join(dropped, ["_r1", "_r2"], "left")
+    common = F.broadcast(common) if common.count() <= BROADCAST_KEYS else common.hint("merge")
+    dropped = lines.join(common, KEY, "left_semi").select("_r1", "_r2", "_pos").distinct()
+    r1, r2, gone_col = (own_name(docs, c) for c in ("_r1", "_r2", "_gone"))
+    dropped = dropped.groupBy(F.col("_r1").alias(r1), F.col("_r2").alias(r2)).agg(F.sort_array(F.collect_list("_pos")).alias(gone_col))
+    gone = F.coalesce(F.col(gone_col), F.array().cast("array<int>"))
+    joined = docs.select(*cols, row_id[0].alias(r1), row_id[1].alias(r2)).join(dropped, [r1, r2], "left")
 
     def rest(split: Column) -> Column:
         # The stretches between dropped lines; `gone` is sorted.
-        start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("_gone"), k - 1) + 1)
-        stop = lambda k: F.coalesce(F.get(F.col("_gone"), k), F.size(split))
-        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_gone")), lambda k: F.slice(split, start(k) + 1, stop(k) - start(k)))), "\n")
+        start = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(F.col(gone_col), k - 1) + 1)
+        stop = lambda k: F.coalesce(F.get(F.col(gone_col), k), F.size(split))
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone_col)), lambda k: F.slice(split, start(k) + 1, stop(k) - start(k)))), "\n")
 
-    kept = F.when(F.col("_gone").isNull(), whole).otherwise(let(F.split(whole, "\n", -1), rest))
+    kept = F.when(F.col(gone_col).isNull(), whole).otherwise(let(F.split(whole, "\n", -1), rest))
     n_lines = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
     return joined.select(*[kept.alias(text_col) if c == text_col else F.col(c) for c in cols], n_lines.cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"))
