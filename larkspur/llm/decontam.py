@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import let, written
+from larkspur.llm.common import let, own_name, written
 
 #: Masks for a width at most, and patterns of replaced tokens up to which they are searched for.
 MOST_MASKS, PATTERNS = 3, 5000
@@ -86,7 +86,8 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 13, min_percen
 
     Null and empty texts match nothing; a null id is an id like any
     other. Repeated rows of a document or an item count once for each distinct
-    pair of id and text. Empty tables give no rows.
+    pair of id and text. A very long text is one row with its seeds. Empty tables
+    give no rows. Other columns are ignored, so none can clash.
     """
     known = items.select(F.col(item_col).alias("_item"), token_hashes(F.col(item_text)).alias("_tokens")).distinct()
     known = written(known, "items")
@@ -127,6 +128,7 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 13, min_percen
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that :func:`contaminated` doesn't find, all columns kept."""
-    bad = written(contaminated(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that :func:`contaminated` doesn't find, all columns and rows kept; a null id is an id like any other."""
+    name = own_name(docs, "_bad")
+    bad = written(contaminated(docs, items, id_col=id_col, **options).select(F.col(id_col).alias(name)).distinct(), "contaminated")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

@@ -357,7 +357,9 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     sets that its set is linked with, each counted once). Ids are
     integers; a null id counts as the smallest and is returned as null. Rows that
     repeat an id are compared as separate texts; an id with several texts takes
-    part in the components of all of them, and each row shows its own text's.
+    part in the components of all of them, and each row shows its own text's. A
+    very long text is a block by itself. An empty table gives an empty table.
+    Other columns of ``docs`` are ignored, so none can clash.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
@@ -428,7 +430,9 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     degrees = degrees.unionByName(blocked.filter("_n is not null").select(F.col("_a").alias("_node"), "_n")).groupBy("_node").agg(F.sum("_n").alias("_links"))
     heads = labels.join(firsts, "_node").groupBy("_label").agg(F.min("_first").alias("_component"))
     named = labels.join(heads, "_label").select("_node", "_component")
-    out = profiles.join(firsts, "_node", "left").join(named, "_node", "left").join(degrees, "_node", "left")
+    placed = profiles.filter("_n > 0").join(firsts, "_node", "left").join(named, "_node", "left").join(degrees, "_node", "left")
+    bare = profiles.filter("_n = 0").withColumns({"_first": F.lit(None).cast("long"), "_component": F.lit(None).cast("long"), "_links": F.lit(None).cast("long")})  # texts without words meet nobody
+    out = placed.unionByName(bare)
     own = F.when(F.col("_n") == 0, F.col("_id")).otherwise(F.coalesce("_component", "_first"))
     back = lambda c: F.when(c != low, c).cast(kind)
     return out.select(back(F.col("_id")).alias(id_col), F.col("_n").alias("n_shingles"), back(own).alias("component_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
