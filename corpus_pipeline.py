@@ -1,4 +1,10 @@
-"""The training-corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""The training-corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage takes the columns of ``documents`` and ignores others. Null texts
+count as empty and, having no words, go in the first stage; a null id is an id
+like any other; repeated rows are judged alike, and one of them stays in the
+third stage. An empty table passes through as an empty table.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go: those that fail the base rules, and those whose score is under the threshold. Repeated rows get one verdict."""
     judged = score_documents(with_trust(docs.select(*COLUMNS), table(spark, sf_dir, "labels")), F.col("_trusted"))
     # Written before the filter: pushed into the scan, it would split each text again for every word of it.
     return written(judged.select(*COLUMNS, "kept"), "judged").filter("kept").select(*COLUMNS)
@@ -40,12 +46,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go, and all rows of their ids, a null id included; without items all stay."""
     return without_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as sampled pieces, with the hash of what they decode to."""
+    """Every row as sampled pieces, with the hash of what they decode to; an empty text has none. Rows of one id and text get one segmentation."""
     pieces = spark.sparkContext.broadcast(Pieces(model_path()))
     coded = encode(docs.select(*COLUMNS), pieces, seed=1)
     back = decode(coded.withColumn("ids", F.col("piece_ids")), pieces)

@@ -18,6 +18,7 @@ from larkspur.llm import kernels, ngram_join, repeats
 from larkspur.llm.decontam import contaminated, masks, replaced, without_contaminated
 from larkspur.llm.line_dedup import LineRuns, drop_common_lines
 from larkspur.llm.ngram_join import components, similar_documents
+from larkspur.llm.quality import score_documents, with_trust
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -300,3 +301,86 @@ def test_words_and_blocks(texts, size):
     assert owner.tolist() == [i for i, x in enumerate(split) for _ in x]
     again = [t for b in kernels.blocks(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]), "text", size) for t in b.column(0).to_pylist()]
     assert again == texts and np.all(np.diff(offsets) >= 0)
+
+
+# pipeline
+
+
+def words_of(r, vocabulary, k):
+    return " ".join(r.choice(vocabulary) for _ in range(k))
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    r = random.Random(31)
+    good, junk = [f"word{i}" for i in range(60)], [f"JUNK{i}!!" for i in range(30)]
+    item = words_of(r, good, 24)
+    rows = []
+    for i in range(60):
+        rows.append((i, "\n".join(words_of(r, good, 20) for _ in range(4)) + "\nShared Footer line"))
+    rows += [(100 + i, words_of(r, junk, 80)) for i in range(30)]
+    rows += [(200, rows[0][1]), (201, rows[1][1].replace("word1 ", "word2 ", 1)), (202, words_of(r, good, 40) + " " + item + " " + words_of(r, good, 30)), (203, "too short"), (204, ""), (205, None), (None, rows[2][1]), (60, rows[3][1]), (3, rows[3][1])]
+    rows = [(d, t, "en", "s", len(t or "")) for d, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in [*range(61), 200, 201, 202]] + [(100 + i, 0) for i in range(9)], "doc_id long, quality int").withColumn("toxic", F.lit(0)).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "two words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    # Quality: base rules, then the ratio of bucket counts; here junk words are never in the target.
+    def passes(t):
+        w = WORD.findall(t or "")
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        n = collections.Counter(tri)
+        twice = {j for i, g in enumerate(tri) if n[g] > 1 for j in (i, i + 1, i + 2)}
+        return len(w) >= 50 and 100 * len(twice) <= 50 * len(w) and not any(x in junk for x in w)
+
+    left = [(d, t) for d, t, *_ in rows if passes(t)]
+    # Lines in ten documents or more, a document being an id with its text.
+    key = lambda line: low(line.strip(" \t\n\x0b\x0c\r"))
+    many = collections.Counter(k for _, t in set(left) for k in {key(x) for x in t.split("\n")} if k)
+    left = [(d, "\n".join(x for x in t.split("\n") if many[key(x)] < 10)) for d, t in left]
+    left = [(d, t) for d, t in left if t.strip(" \t\n\x0b\x0c\r")]
+    # One row of each group of near copies.
+    named = list(enumerate(left))
+    groups = brute_groups([(i, t) for i, (_, t) in named], 5, 80)
+    best = {}
+    for i, (d, t) in named:
+        g = groups[i][1]
+        if g not in best or (d is not None, d or 0) < (best[g][0] is not None, best[g][0] or 0):
+            best[g] = (d, t)
+    left = list(best.values())
+    # Benchmark: 13 words in a row of an item, four fifths of them equal, at any offset.
+    items = [re.findall(r"\w+", item), ["two", "words"]]
+
+    def leaks(t):
+        w = re.findall(r"\w+", low(t))
+        for own in items:
+            width = min(13, len(own))
+            for o in range(-len(own), len(w)):
+                same = [0 <= o + k < len(w) and w[o + k] == x for k, x in enumerate(own)]
+                if any(100 * sum(same[k : k + width]) >= 80 * width for k in range(len(own) - width + 1)):
+                    return True
+        return False
+
+    want = sorted(((d, hashlib.sha256(t.encode()).hexdigest()) for d, t in left if not leaks(t)), key=str)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(((x["doc_id"], x["decoded_sha256"]) for x in got), key=str) == want
+    assert 40 < len(want) < 62 and all(x["n_pieces"] == len(x["piece_ids"]) for x in got)
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (i == 4 or out.columns == docs.columns)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, "same line\nown %d" % i, 1, 2, 3, 4) for i in range(12)], "doc_id long, text string, _r1 int, _R2 int, _gone int, _bad int")
+    out = drop_common_lines(df, min_docs=10)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"] and {tuple(x)[2:] for x in out.collect()} == {(1, 2, 3, 4, 2, 1)}
+    items = spark.createDataFrame([(1, "own 3 same")], "item_id long, text string")
+    assert without_contaminated(df, items).columns == df.columns
+    judged = score_documents(with_trust(df.withColumnsRenamed({"_r1": "_words", "_R2": "_good", "_gone": "_found"}), spark.createDataFrame([(1, 1)], "doc_id long, quality int")), F.col("_trusted"))
+    assert {(x["_words"], x["_good"], x["_found"], x["n_words"]) for x in judged.collect()} == {(1, 2, 3, 4)}
