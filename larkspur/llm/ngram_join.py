@@ -195,12 +195,25 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield got
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """A set as byte planes of the differences between its shingles' upper 48 bits, which compress well. Two sets of a thousand shingles differ by that in one of 10 ** 8 cases."""
+    steps = np.diff(s >> np.uint64(16), prepend=np.uint64(0))
+    return steps.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+
+
+def _unpacked(value: pa.BinaryScalar) -> np.ndarray:
+    planes = np.frombuffer(value.as_buffer(), np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _packed_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "_text"):
             sets = _Sets(batch, n)
             own = np.flatnonzero(sets.nodes()[1] == np.asarray(batch.column("_node")))  # an id may have other texts too
-            yield pa.RecordBatch.from_arrays([batch.column("_node").take(pa.array(own)), pa.array([sets.sets[i].tobytes() for i in own.tolist()], pa.binary())], ["_node", "_set"])
+            yield pa.RecordBatch.from_arrays([batch.column("_node").take(pa.array(own)), pa.array([_packed(sets.sets[i]) for i in own.tolist()], pa.binary())], ["_node", "_set"])
 
     return run
 
@@ -210,7 +223,7 @@ def _verified(percent: int):
         for batch in batches:
             good = []
             for x, y in zip(batch.column("_x"), batch.column("_y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = _unpacked(x), _unpacked(y)
                 both = np.sort(np.concatenate((x, y)), kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 good.append(100 * common >= percent * (len(both) - common))
@@ -259,7 +272,7 @@ def _compared(percent: int):
         new_pair &= ~_met(table.column("_often"), table.column("_key")[0].as_py())
         if not new_pair.any():
             return _COMPARED.empty_table()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("_set")]
+        sets = [_unpacked(x) for x in table.column("_set")]
         size = np.array([len(x) for x in sets], dtype=np.int64)
         every = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), size)
