@@ -63,9 +63,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+#: Abbreviations whose point ends no sentence.
+ABBREVIATIONS = ("e.g", "i.e", "etc", "vs", "mr", "mrs", "ms", "dr", "prof", "inc", "ltd", "co", "fig", "no", "напр", "т.д", "т.п", "тис", "млн", "млрд", "грн", "вул", "проф", "др", "рис", "ст")
+_SHORT = "|".join(x.replace(".", "\\.") for x in ABBREVIATIONS)
+
+
 def sentences(text: Column) -> Column:
-    """Split after . ! ? … and white space."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "(?<=[.!?…])\\s+"), lambda s: F.btrim(s) != "")
+    """Split after a terminator and white space, but not after an abbreviation's points (three at most)."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), f"(?iu)(?<=[.!?…。！？])(?<!(?:^|\\s)(?:{_SHORT})\\.{{1,3}})\\s+(?=\\S)"), lambda s: F.btrim(s) != "")
 
 
 def ngrams(words: Column, n: int) -> Column:

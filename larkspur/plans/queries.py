@@ -699,3 +699,6 @@ SELECT detector, severity, CAST(sum(n) AS BIGINT) AS n FROM f GROUP BY GROUPING
 def report_summary(spark, sf):
     n = now(spark, sf)
     return O.summarise(O.findings({"striking": O.striking(n, LOWER), "ctr_outliers": O.ctr_outliers(n, LOWER), "gaps": O.gaps(n, LOWER)}))
+
+
+from larkspur.plans import gate as _gate  # noqa: E402, F401  (registers its queries)
