@@ -16,6 +16,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
@@ -23,6 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ordinal(df: DataFrame, name: str, *order) -> DataFrame:
+    """``df`` with its place (from 1) in a total order as ``name``: sorted in ranges, each numbered from the number of rows before it."""
+    dealt = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before, offsets = 0, []
+    for row in sorted(dealt.groupBy("_range").count().collect()):  # a row for each range
+        offsets += [F.lit(row["_range"]), F.lit(before)]
+        before += row["count"]
+    start = F.element_at(F.create_map(*offsets), F.col("_range")) if offsets else F.lit(0)
+    return dealt.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + start).drop("_range")
+
+
 def serp_edges(serps: DataFrame, depth: int = 10) -> DataFrame:
     """(a, b, serp_overlap) of queries that share results: an equi-join on the result, so only overlapping pairs arise. ``serps``: id, urls."""
     one = serps.select("id", F.explode(F.array_distinct(F.slice("urls", 1, depth))).alias("url"))
@@ -39,8 +52,7 @@ def symmetric(edges: DataFrame) -> DataFrame:
 
 def ranked_queries(queries: DataFrame) -> DataFrame:
     """``rank`` in the walk's order: priority and volume descending (null as 0), text, id."""
-    w = Window.orderBy(F.desc(F.coalesce("priority", F.lit(0.0))), F.desc(F.coalesce("volume", F.lit(0.0))), "text_norm", "id")
-    return queries.withColumn("rank", F.row_number().over(w))
+    return ordinal(queries, "rank", F.desc(F.coalesce("priority", F.lit(0.0))), F.desc(F.coalesce("volume", F.lit(0.0))), F.col("text_norm"), F.col("id"))
 
 
 def centroid_clusters(queries: DataFrame, edges: DataFrame, threshold: int = 3, depth: int = 10) -> DataFrame:
@@ -68,7 +80,7 @@ def centroid_clusters(queries: DataFrame, edges: DataFrame, threshold: int = 3,
     heads = state.filter("head").select(F.col("id").alias("b"), F.col("rank").alias("head_rank"))
     best = near.join(heads, "b").filter("rb < ra").groupBy(F.col("a").alias("id")).agg(F.min(F.struct("head_rank", F.col("b").alias("head_id"), "serp_overlap")).alias("m"))
     out = state.join(best, "id", "left").select("id", "head", F.when(F.col("head"), F.col("rank")).otherwise(F.col("m.head_rank")).alias("head_rank"), F.when(F.col("head"), F.col("id")).otherwise(F.col("m.head_id")).alias("head_id"), F.when(F.col("head"), 1.0).otherwise(membership(F.col("m.serp_overlap"), depth)).alias("score"))
-    names = out.filter("head").select("head_rank", F.row_number().over(Window.orderBy("head_rank")).alias("n"))
+    names = ordinal(out.filter("head").select("head_rank"), "n", F.col("head_rank"))
     width = F.greatest(F.lit(3), F.length(F.col("n").cast("string")))
     names = names.select("head_rank", F.concat(F.lit("c-"), F.lpad(F.col("n").cast("string"), width, F.lit("0"))).alias("cluster_id"))
     return out.join(names, "head_rank").select("id", "head_id", "cluster_id", "score", F.col("head").alias("is_head"))
@@ -151,10 +163,16 @@ def page_rank(links: DataFrame, rounds: int = 20, damping: float = 0.85) -> Data
 
 
 def gini(values: DataFrame, col: str) -> DataFrame:
-    """Gini coefficient of a column. The running place comes from sums by value, so only distinct values are ordered in one task."""
+    """Gini coefficient of a column, from sums by distinct value and the number of values before each: counted in ranges, added up over the ranges."""
     by = values.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    placed = by.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    dealt = cut(by.repartitionByRange("x").withColumn("_range", F.spark_partition_id()))
+    before, offsets = 0, []
+    for row in sorted(dealt.groupBy("_range").agg(F.sum("c").alias("n")).collect()):  # a row for each range
+        offsets += [F.lit(row["_range"]), F.lit(before)]
+        before += row["n"]
+    start = F.element_at(F.create_map(*offsets), F.col("_range")) if offsets else F.lit(0)
+    w = Window.partitionBy("_range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)) + start)
     place = F.col("x") * F.col("c") * (2 * F.col("before") + F.col("c") + 1)
     return placed.agg(F.try_divide(F.sum(place), F.sum(F.col("x") * F.col("c")) * F.sum("c")).alias("a"), F.sum("c").alias("n")).select((F.col("a") - (F.col("n") + 1) / F.col("n")).alias("gini"), "n")
 

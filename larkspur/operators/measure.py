@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,11 +63,24 @@ def robust_trend(series: DataFrame, days: int = 90) -> DataFrame:
 
 
 def ewma(series: DataFrame, alpha: float = 0.25) -> DataFrame:
-    """Exponentially weighted mean of every term's values in date order: ``ewma``. The fold runs over the sorted array of a term, in the JVM."""
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["date"].alias("date"), x["value"].alias("value"), F.when(F.size(acc) == 0, x["value"]).otherwise(F.lit(alpha) * x["value"] + (1 - alpha) * F.element_at(acc, -1)["ewma"]).alias("ewma"))))
-    rows = series.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("date", F.col("value").cast("double").alias("value")))).alias("v"))
-    empty = F.array().cast("array<struct<date:date,value:double,ewma:double>>")
-    return rows.select("term", F.explode(F.aggregate("v", empty, step)).alias("r")).select("term", "r.*")
+    """Exponentially weighted mean of every term's values in date order: ``ewma``.
+
+    A term's rows are sorted by Spark and handled batch by batch, so that a term of
+    any length takes time in proportion and the last mean is all that is carried.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term = mean = None
+        for batch in batches:
+            out = []
+            for name, value in zip(batch.column("term").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                mean = value if name != term or mean is None else alpha * value + (1 - alpha) * mean
+                term = name
+                out.append(mean)
+            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("date"), batch.column("value"), pa.array(out, pa.float64())], ["term", "date", "value", "ewma"])
+
+    rows = series.select("term", "date", F.col("value").cast("double").alias("value"))
+    return rows.repartition("term").sortWithinPartitions("term", "date").mapInArrow(run, f"term {series.schema['term'].dataType.simpleString()}, date date, value double, ewma double")
 
 
 def trend_score(z: Column, accel: Column, sources: Column, season: Column, max_sources: int) -> Column:
@@ -77,8 +93,12 @@ def breakout_score(sources: Column, velocity: Column, max_sources: int) -> Colum
     return F.when(sources >= 2, 0.6 * (sources / F.lit(float(max_sources))) + 0.4 * F.least(F.greatest(velocity, F.lit(0.0)), F.lit(1.0)))
 
 
+#: What a comparison with a limit allows for rounding.
+EPSILON = 1e-9
+
+
 def trend_bucket(score: Column) -> Column:
-    return F.when(score >= 0.65, "plan").when(score >= 0.45, "watchlist").otherwise("discarded")
+    return F.when(score + EPSILON >= 0.65, "plan").when(score + EPSILON >= 0.45, "watchlist").otherwise("discarded")
 
 
 def persistence(flags: DataFrame, least: int = 3) -> DataFrame:

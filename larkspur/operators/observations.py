@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.graph import ordinal
 from larkspur.functions.scores import cosine, expected_ctr, ratio
 from larkspur.sources.observations import branded
 from larkspur.thresholds import Thresholds
@@ -280,7 +281,7 @@ def branch(similarity: Column, dominance: Column, merge: float = 0.9, strong: fl
 
 
 #: Severity and rule of each detector.
-RULES = {"striking": ("MSR-23", "WARN"), "ctr_outliers": ("MSR-24", "WARN"), "decay": ("MSR-25", "WARN"), "rising": ("MSR-26", "INFO"), "mismatch": ("MSR-27", "WARN"), "lost": ("MSR-28", "WARN"), "gaps": ("MSR-31", "INFO")}
+RULES = {"striking": ("MSR-23", "WARN"), "ctr_outliers": ("MSR-24", "WARN"), "decay": ("MSR-25", "WARN"), "rising": ("MSR-26", "INFO"), "mismatch": ("MSR-27", "WARN"), "lost": ("MSR-28", "WARN"), "gaps": ("MSR-31", "INFO"), "seasonality": ("MSR-29", "INFO"), "segmentation": ("MSR-04", "INFO"), "cannibalization": (None, "WARN")}
 PREFIX = {"striking": "STRIKE", "ctr_outliers": "CTROUT", "decay": "DECAY", "rising": "RISING", "mismatch": "MISMATCH", "lost": "LOST", "gaps": "GAP", "cannibalization": "CANNIBAL", "seasonality": "SEASON", "segmentation": "SEGMENT"}
 
 
@@ -291,22 +292,26 @@ def findings(detected: Mapping[str, DataFrame], used: Mapping[str, Column] | Non
         if name not in RULES:
             raise ValueError(f"unknown detector {name}")
         rule, severity = RULES[name]
-        subject = F.concat_ws(" → ", "query", "page") if name in ("striking", "ctr_outliers", "mismatch") else F.col("subject") if name == "rising" else F.col("page") if name == "decay" else F.col("query")
+        own = F.col("rule_id") if "rule_id" in frame.columns else F.lit(rule)  # competing pages name their rule
+        if name == "seasonality":  # that the history is too short is a finding of another rule
+            own = F.when(F.col("status") == "insufficient_history", "MSR-30").otherwise(rule)
+        week = F.coalesce(F.concat(F.col("iso_year").cast("string"), F.lit("-W"), F.lpad(F.col("iso_week").cast("string"), 2, F.lit("0"))), F.lit("history")) if name == "seasonality" else None
+        subject = week if name == "seasonality" else F.col("segment") if name == "segmentation" else F.concat_ws(" → ", "query", "page") if name in ("striking", "ctr_outliers", "mismatch") else F.col("subject") if name == "rising" else F.col("page") if name == "decay" else F.col("query")
         empty = F.array().cast("array<struct<key:string,value:string,source:string,note:string>>")
-        row = frame.select(F.lit(name).alias("detector"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), subject.alias("subject"), F.to_json(F.struct(*sorted(frame.columns))).alias("evidence"), (used or {}).get(name, empty).alias("thresholds_used"))
+        row = frame.select(F.lit(name).alias("detector"), own.alias("rule_id"), F.lit(severity).alias("severity"), subject.alias("subject"), F.to_json(F.struct(*sorted(frame.columns))).alias("evidence"), (used or {}).get(name, empty).alias("thresholds_used"))
         out = row if out is None else out.unionByName(row)
     return out
 
 
 def ordered(found: DataFrame, observe: bool = False) -> DataFrame:
-    """Findings in report order with ids. The report is the result's last step and bounded by the detectors' caps; its order is total."""
+    """Findings in report order with ids, of four digits or as many as they need; the order is total."""
     if observe:
         found = found.withColumn("severity", F.when(F.col("severity") == "BLOCK", "WARN").otherwise(F.col("severity")))
     rank = F.when(F.col("severity") == "BLOCK", 0).when(F.col("severity") == "WARN", 1).when(F.col("severity") == "INFO", 2).otherwise(F.raise_error(F.lit("unknown severity")).cast("int"))
-    w = Window.orderBy("_rank", "rule_id", "subject", "evidence")
     prefix = F.element_at(F.create_map(*[F.lit(x) for p in PREFIX.items() for x in p]), F.col("detector"))
-    out = found.withColumn("_rank", rank).withColumn("seq", F.row_number().over(w))
-    return out.withColumn("id", F.concat(prefix, F.lit("-"), F.lpad(F.col("seq").cast("string"), 4, "0"))).drop("_rank")
+    out = ordinal(found.withColumn("_rank", rank), "seq", *[F.col(c) for c in ("_rank", "rule_id", "subject", "evidence")])
+    width = F.greatest(F.lit(4), F.length(F.col("seq").cast("string")))
+    return out.withColumn("id", F.concat(prefix, F.lit("-"), F.lpad(F.col("seq").cast("string"), width, F.lit("0")))).drop("_rank")
 
 
 def summarise(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.text import ABBREVIATIONS
 from larkspur.operators import content as C
 from larkspur.operators import drafts as D
-from larkspur.plans.queries import _MARKS, _SCRIPTS, _UTM, TOK, query, t
+from larkspur.plans.queries import _MARKS, _SCRIPTS, _UTM, ORACLES, SERIES, TOK, query, t
 
 LIMITS = D.limits()
 _EXTRA = ["", "\n\n# One\n\n### Two\n\n- a\n- b\n- c\n\n- d\nDr. Who came. It is, e.g. here.\n\n1. x\n2. y", "\n\n## Part\n\nThis is why. So it goes.\n\n| a | b |\n|---|---|\n\n2 x 3 = 6\n\n* one\n* two\n* three", "\n\n> quoted words\n\nISBN 978-3-16-148410-0 and ISBN 978-3-16-148410-1. etc. and so on.\n\n```\ncode here\n```"]
@@ -280,3 +280,25 @@ def draft_gate(spark, sf):
 @query(_gate_sql("CASE WHEN severity = 'BLOCK' THEN 'WARN' ELSE severity END"))
 def draft_gate_observed(spark, sf):
     return _gated(spark, sf, True)
+
+
+# SQL of queries that are registered elsewhere and read sentences, or the rows of others.
+
+ORACLES["sentence_stats"] = f"WITH s AS (SELECT doc_id, unnest(list_transform({sents("coalesce(text, '')")}, lambda s: len({toks('s')}))) AS n FROM documents) SELECT doc_id, count(*) AS sentences, round(stddev_pop(n), 6) AS sigma, round(avg(CASE WHEN n BETWEEN 12 AND 22 THEN 1.0 ELSE 0.0 END), 6) AS mid_share FROM s WHERE n > 0 GROUP BY doc_id"
+ORACLES["repeated_openers"] = f"WITH s AS (SELECT doc_id, unnest(list_transform({sents("coalesce(text, '')")}, lambda s: array_to_string(({toks('s')})[1:2], ' '))) AS o FROM documents), k AS (SELECT doc_id, o, count(*) AS n FROM s WHERE o <> '' GROUP BY 1, 2) SELECT doc_id, CAST(sum(n) AS BIGINT) AS sentences, round(coalesce(sum(n) FILTER (WHERE n > 1), 0) / CAST(sum(n) AS DOUBLE), 6) AS repeated_share FROM k GROUP BY doc_id HAVING sum(n) >= 5"
+ORACLES["paragraph_mode"] = f"WITH a AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\n+'), lambda z: trim(z, ' ') <> '') AS ps FROM documents), b AS (SELECT doc_id, unnest(list_transform(ps, lambda q: len({sents('q')}))) AS n, unnest(range(len(ps))) AS pos FROM a), k AS (SELECT doc_id, n, count(*) AS c, min(pos) AS f FROM b GROUP BY 1, 2), m AS (SELECT doc_id, n AS mode FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, f) AS i FROM k) WHERE i = 1) SELECT k.doc_id AS doc_id, CAST(mode AS INTEGER) AS mode, CAST(sum(c) AS BIGINT) AS paragraphs, round(coalesce(sum(c) FILTER (WHERE abs(n - mode) <= 1), 0) / CAST(sum(c) AS DOUBLE), 6) AS uniform_share FROM k JOIN m ON m.doc_id = k.doc_id GROUP BY k.doc_id, mode"
+_OBSERVED = " UNION ALL ".join([
+    f"SELECT 'striking' AS detector, 'MSR-23' AS rule_id, 'WARN' AS severity, query || ' → ' || page AS subject FROM ({ORACLES['striking']})", f"SELECT 'gaps', 'MSR-31', 'INFO', query FROM ({ORACLES['gaps']})", f"SELECT 'lost', 'MSR-28', 'WARN', query FROM ({ORACLES['lost']})",
+    f"SELECT 'rising', 'MSR-26', 'INFO', subject FROM ({ORACLES['rising']})", f"SELECT 'decay', 'MSR-25', 'WARN', page FROM ({ORACLES['decay']})",
+])
+ORACLES["findings"] = f"WITH f AS ({_OBSERVED}), n AS (SELECT *, CAST(row_number() OVER (ORDER BY CASE severity WHEN 'WARN' THEN 1 ELSE 2 END, rule_id, subject) AS INTEGER) AS seq FROM f) SELECT CASE detector WHEN 'striking' THEN 'STRIKE' WHEN 'gaps' THEN 'GAP' ELSE upper(detector) END || '-' || lpad(CAST(seq AS VARCHAR), CAST(greatest(4, length(CAST(seq AS VARCHAR))) AS INTEGER), '0') AS id, seq, detector, rule_id, severity, subject FROM n"
+ORACLES["findings_summary"] = f"SELECT detector, severity, count(*) AS n FROM ({_OBSERVED}) GROUP BY GROUPING SETS ((), (severity), (detector), (detector, severity))"
+ORACLES["trend_ewma"] = f"WITH {SERIES}, o AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY date) - 1 AS i FROM s) SELECT b.term AS term, b.date AS date, CAST(b.value AS DOUBLE) AS value, round(sum((CASE WHEN a.i = 0 THEN 1.0 ELSE 0.25 END) * pow(0.75, b.i - a.i) * a.value), 4) AS ewma FROM o a JOIN o b ON a.term = b.term AND a.i <= b.i GROUP BY b.term, b.date, b.value"
+
+
+def _ranked(rounds: int = 20) -> str:
+    steps = "".join(f", r{i + 1} AS MATERIALIZED (SELECT v.node, (0.15 + 0.85 * (1 - (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE node IN (SELECT src FROM g)))) / (SELECT count(*) FROM v) + 0.85 * coalesce(f.s, 0) AS rank FROM v LEFT JOIN (SELECT e.dst, sum(r{i}.rank / g.deg) AS s FROM e JOIN r{i} ON r{i}.node = e.src JOIN g ON g.src = e.src GROUP BY e.dst) f ON f.dst = v.node)" for i in range(rounds))
+    return f"WITH e AS MATERIALIZED (SELECT DISTINCT * FROM (SELECT 'p' || CAST(l_partkey AS VARCHAR) AS src, 's' || CAST(l_suppkey AS VARCHAR) AS dst FROM lineitem UNION ALL SELECT 's' || CAST(l_suppkey AS VARCHAR), 'p' || CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_quantity > 25)), v AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e), g AS MATERIALIZED (SELECT src, count(*) AS deg FROM e GROUP BY src), r0 AS MATERIALIZED (SELECT node, 1.0 / (SELECT count(*) FROM v) AS rank FROM v){steps} SELECT node, round(CAST(rank AS DOUBLE), 8) AS rank, round(100.0 * rank / (SELECT max(rank) FROM r{rounds}), 4) AS link_score FROM r{rounds}"
+
+
+ORACLES["page_rank"] = _ranked()

@@ -204,7 +204,7 @@ def flip_rate(spark, sf):
 
 def _vectors(spark, sf):
     """Vectors of pages: the embedding whose id is the page's length modulo 50."""
-    e = t(spark, sf, "embeddings").filter("vec_id < 50").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vector"))
+    e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vector"))
     pages = now(spark, sf).select("page").distinct().withColumn("_v", (F.length("page") % 50).cast("long"))
     return pages.join(e, "_v").select("page", "vector")
 
@@ -213,7 +213,7 @@ def _vectors(spark, sf):
 rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY clicks DESC, impressions DESC, page) AS rn FROM agg),
 top AS (SELECT query, count(*) AS n, max(CASE WHEN rn = 1 THEN page END) AS leader, max(CASE WHEN rn = 2 THEN page END) AS runner_up, max(CASE WHEN rn = 1 THEN clicks END) AS c1, max(CASE WHEN rn = 2 THEN clicks END) AS c2 FROM rk GROUP BY query),
 comp AS (SELECT h.* FROM held h JOIN agg a ON a.query = h.query AND a.page = h.page), {LEAD.format('comp')},
-e AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 50),
+e AS (SELECT vec_id, embedding FROM embeddings),
 j AS (SELECT top.query, n, leader, runner_up, CAST(c1 AS DOUBLE) / (c1 + c2) AS dom, CASE WHEN days < 2 THEN 0.0 ELSE CAST(flips AS DOUBLE) / (days - 1) END AS fr, list_cosine_similarity(CAST(e1.embedding AS DOUBLE[]), CAST(e2.embedding AS DOUBLE[])) AS cs
  FROM top JOIN flips ON flips.query = top.query JOIN e e1 ON e1.vec_id = length(leader) % 50 JOIN e e2 ON e2.vec_id = length(runner_up) % 50 WHERE n >= 2 AND c2 >= 3)
 SELECT query, n AS competing_urls, leader, runner_up, round(dom, 4) AS dominance, round(fr, 4) AS flip_rate, round(cs, 4) AS cosine_similarity, CASE WHEN fr < 0.3 THEN 'LNK-26' ELSE 'LNK-25' END AS rule_id,
@@ -302,7 +302,7 @@ def token_counts(spark, sf):
 
 @query()
 def sentence_stats(spark, sf):
-    return C.sentence_stats(t(spark, sf, "documents"))
+    return C.sentence_stats(t(spark, sf, "documents")).select("doc_id", "sentences", r("sigma"), r("mid_share"))
 
 
 @query(f"WITH w AS (SELECT doc_id, unnest({TOK}) AS w, unnest(range(len({TOK}))) AS p FROM documents), c AS (SELECT doc_id, p // 500 AS k, count(*) AS n, count(DISTINCT w) AS d FROM w GROUP BY 1, 2 HAVING count(*) >= 50) SELECT doc_id, round(min(CAST(d AS DOUBLE) / n), 6) AS min_ttr, count(*) AS chunks FROM c GROUP BY doc_id")
@@ -312,12 +312,12 @@ def type_token_ratio(spark, sf):
 
 @query()
 def repeated_openers(spark, sf):
-    return C.repeated_openers(t(spark, sf, "documents"))
+    return C.repeated_openers(t(spark, sf, "documents")).select("doc_id", "sentences", r("repeated_share"))
 
 
 @query()
 def paragraph_mode(spark, sf):
-    return C.paragraph_mode(t(spark, sf, "documents"))
+    return C.paragraph_mode(t(spark, sf, "documents")).select("doc_id", "mode", "paragraphs", r("uniform_share"))
 
 
 @query(f"WITH a AS (SELECT doc_id, {TOK} AS w FROM documents), b AS (SELECT item_id, {TOK} AS w FROM benchmark), ga AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM a WHERE len(w) >= 8)), gb AS (SELECT DISTINCT item_id, array_to_string(w[i:i+7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM b WHERE len(w) >= 8)), n AS (SELECT doc_id, count(*) AS n_grams FROM ga GROUP BY doc_id) SELECT ga.doc_id AS doc_id, item_id, count(*) AS shared, CAST(max(n_grams) AS INTEGER) AS n_grams, round(CAST(count(*) AS DOUBLE) / max(n_grams), 6) AS overlap FROM ga JOIN gb ON ga.g = gb.g JOIN n ON n.doc_id = ga.doc_id GROUP BY ga.doc_id, item_id")
@@ -400,10 +400,10 @@ def cluster_drift(spark, sf):
     return G.drift_summary(_clusters(spark, sf, 3).select("id", "cluster_id"), _clusters(spark, sf, 4).select("id", "cluster_id"))
 
 
-@query("WITH m AS (SELECT c_nationkey AS cluster_id, CASE c_custkey % 3 WHEN 0 THEN 'informational' WHEN 1 THEN 'transactional' ELSE 'commercial' END AS co, CASE WHEN c_custkey % 2 = 0 THEN 'knowledge' ELSE 'output' END AS cg FROM customer WHERE c_custkey % 11 < 2), b AS (SELECT cluster_id, count(*) AS size, bool_or(co = 'informational') AND bool_or(co = 'transactional') AS x, bool_or(cg = 'knowledge') AND bool_or(cg = 'output') AS y FROM m GROUP BY cluster_id) SELECT cluster_id, size, 'SEM-10' AS rule_id, 'commercial' AS why FROM b WHERE x UNION ALL SELECT cluster_id, size, 'SEM-10', 'cognitive' FROM b WHERE y UNION ALL SELECT cluster_id, size, 'SEM-23', 'size' FROM b WHERE size > 12")
+@query("WITH m AS (SELECT c_nationkey AS cluster_id, CASE c_custkey % 3 WHEN 0 THEN 'informational' WHEN 1 THEN 'transactional' ELSE 'commercial' END AS co, CASE WHEN c_custkey % 2 = 0 THEN 'knowledge' ELSE 'output' END AS cg FROM customer), b AS (SELECT cluster_id, count(*) AS size, bool_or(co = 'informational') AND bool_or(co = 'transactional') AS x, bool_or(cg = 'knowledge') AND bool_or(cg = 'output') AS y FROM m GROUP BY cluster_id) SELECT cluster_id, size, 'SEM-10' AS rule_id, 'commercial' AS why FROM b WHERE x UNION ALL SELECT cluster_id, size, 'SEM-10', 'cognitive' FROM b WHERE y UNION ALL SELECT cluster_id, size, 'SEM-23', 'size' FROM b WHERE size > 12")
 def over_merging(spark, sf):
     k = F.col("c_custkey")
-    rows = t(spark, sf, "customer").filter(k % 11 < 2).select(F.col("c_nationkey").alias("cluster_id"), F.when(k % 3 == 0, "informational").when(k % 3 == 1, "transactional").otherwise("commercial").alias("commercial"), F.when(k % 2 == 0, "knowledge").otherwise("output").alias("cognitive"))
+    rows = t(spark, sf, "customer").select(F.col("c_nationkey").alias("cluster_id"), F.when(k % 3 == 0, "informational").when(k % 3 == 1, "transactional").otherwise("commercial").alias("commercial"), F.when(k % 2 == 0, "knowledge").otherwise("output").alias("cognitive"))
     return G.over_merged(rows, 12)
 
 
@@ -427,22 +427,22 @@ def ambiguous_anchors(spark, sf):
     return G.ambiguous_anchors(_links(spark, sf))
 
 
-def _edges(spark, sf, lines="l_linenumber <= 2"):
-    """Parts linked to suppliers and back, as a link graph. The SQL of click_depth reads the first two lines of an order only."""
-    li = t(spark, sf, "lineitem").filter(lines)
+def _edges(spark, sf):
+    """Parts linked to suppliers and back, as a link graph."""
+    li = t(spark, sf, "lineitem")
     a = li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
     b = li.filter("l_quantity > 25").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
     return a.unionByName(b).distinct()
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT * FROM (SELECT 'p' || CAST(l_partkey AS VARCHAR) AS src, 's' || CAST(l_suppkey AS VARCHAR) AS dst FROM lineitem WHERE l_linenumber <= 2 UNION ALL SELECT 's' || CAST(l_suppkey AS VARCHAR), 'p' || CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_linenumber <= 2 AND l_quantity > 25)), b AS (SELECT 'p1' AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 6) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY node""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT * FROM (SELECT 'p' || CAST(l_partkey AS VARCHAR) AS src, 's' || CAST(l_suppkey AS VARCHAR) AS dst FROM lineitem UNION ALL SELECT 's' || CAST(l_suppkey AS VARCHAR), 'p' || CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_quantity > 25)), b AS (SELECT 'p1' AS node, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.node WHERE b.depth < 6) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY node""")
 def click_depth(spark, sf):
     return G.click_depth(_edges(spark, sf), "p1")
 
 
 @query()
 def page_rank(spark, sf):
-    return G.page_rank(_edges(spark, sf, "true"))
+    return G.page_rank(_edges(spark, sf)).select("node", r("rank", 8), r("link_score", 4))
 
 
 @query("WITH v AS (SELECT CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem), o AS (SELECT x, row_number() OVER (ORDER BY x) AS i FROM v) SELECT round(2 * sum(i * x) / (count(*) * sum(x)) - CAST(count(*) + 1 AS DOUBLE) / count(*), 6) AS gini, count(*) AS n FROM o")
@@ -450,17 +450,17 @@ def link_gini(spark, sf):
     return G.gini(t(spark, sf, "lineitem"), "l_extendedprice").select(r("gini"), "n")
 
 
-@query("WITH pg AS (SELECT s_suppkey AS page, s_nationkey AS depth FROM supplier WHERE s_suppkey % 7 <> 0), i AS (SELECT l_suppkey AS page, count(*) AS n FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 49 GROUP BY 1), j AS (SELECT pg.page, depth, coalesce(n, 0) AS n FROM pg LEFT JOIN i ON i.page = pg.page) SELECT count(*) AS pages, round(avg(CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END), 6) AS orphan_rate, quantile_cont(depth, 0.5) AS depth_p50, quantile_cont(depth, 0.9) AS depth_p90, round(avg(CASE WHEN depth > 3 THEN 1.0 ELSE 0.0 END), 6) AS share_deeper_3, round(avg(CASE WHEN depth > 5 THEN 1.0 ELSE 0.0 END), 6) AS share_deeper_5, quantile_cont(n, 0.1) AS inlinks_p10, round(avg(CASE WHEN n < 3 THEN 1.0 ELSE 0.0 END), 6) AS share_inlinks_lt_3 FROM j")
+@query("WITH pg AS (SELECT s_suppkey AS page, s_nationkey AS depth FROM supplier WHERE s_suppkey % 7 <> 0), i AS (SELECT l_suppkey AS page, count(*) AS n FROM lineitem GROUP BY 1), j AS (SELECT pg.page, depth, coalesce(n, 0) AS n FROM pg LEFT JOIN i ON i.page = pg.page) SELECT count(*) AS pages, round(avg(CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END), 6) AS orphan_rate, quantile_cont(depth, 0.5) AS depth_p50, quantile_cont(depth, 0.9) AS depth_p90, round(avg(CASE WHEN depth > 3 THEN 1.0 ELSE 0.0 END), 6) AS share_deeper_3, round(avg(CASE WHEN depth > 5 THEN 1.0 ELSE 0.0 END), 6) AS share_deeper_5, quantile_cont(n, 0.1) AS inlinks_p10, round(avg(CASE WHEN n < 3 THEN 1.0 ELSE 0.0 END), 6) AS share_inlinks_lt_3 FROM j")
 def link_health(spark, sf):
     pages = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("page"), F.col("s_nationkey").alias("depth"), (F.col("s_suppkey") % 7 != 0).alias("indexable"))
-    links = t(spark, sf, "lineitem").filter("l_linenumber = 1 and l_quantity > 49").select((-F.col("l_orderkey")).alias("src"), F.col("l_suppkey").alias("dst"))
+    links = t(spark, sf, "lineitem").select((-F.col("l_orderkey")).alias("src"), F.col("l_suppkey").alias("dst"))
     out = G.link_health(pages, links)
     return out.select("pages", r("orphan_rate"), "depth_p50", "depth_p90", r("share_deeper_3"), r("share_deeper_5"), "inlinks_p10", r("share_inlinks_lt_3"))
 
 
-@query("WITH d AS (SELECT l_suppkey AS dst, CAST(l_shipdate AS DATE) AS created, count(*) AS made FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2) SELECT dst, created, made, CAST(sum(made) OVER (PARTITION BY dst ORDER BY created RANGE BETWEEN INTERVAL 89 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS made_in_window FROM d")
+@query("WITH d AS (SELECT l_suppkey AS dst, CAST(l_shipdate AS DATE) AS created, count(*) AS made FROM lineitem GROUP BY 1, 2) SELECT dst, created, made, CAST(sum(made) OVER (PARTITION BY dst ORDER BY created RANGE BETWEEN INTERVAL 89 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS made_in_window FROM d")
 def rolling_links(spark, sf):
-    links = t(spark, sf, "lineitem").filter("l_linenumber = 1").select(F.col("l_suppkey").alias("dst"), F.to_date("l_shipdate").alias("created"))
+    links = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("dst"), F.to_date("l_shipdate").alias("created"))
     return G.rolling_links(links, 90)
 
 
@@ -470,10 +470,10 @@ def site_radius(spark, sf):
     return G.site_radius(v, "vec_id").select("vec_id", r("radius", 5))
 
 
-@query("SELECT a.vec_id AS donor, b.vec_id AS target, CAST(a.label AS INTEGER) AS cluster, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 100 AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3")
+@query("SELECT a.vec_id AS donor, b.vec_id AS target, CAST(a.label AS INTEGER) AS cluster, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3")
 def link_candidates(spark, sf):
     e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), F.col("embedding").alias("vector"))
-    return G.link_candidates(e.filter("id < 100"), e, least=0.3).select("donor", "target", "cluster", r("similarity", 4))
+    return G.link_candidates(e, e, least=0.3).select("donor", "target", "cluster", r("similarity", 4))
 
 
 # --- trends, answers, logs ------------------------------------------------
@@ -494,7 +494,7 @@ def robust_trend(spark, sf):
 
 @query()
 def trend_ewma(spark, sf):
-    return M.ewma(_series(spark, sf))
+    return M.ewma(_series(spark, sf)).select("term", "date", "value", r("ewma", 4))
 
 
 @query(f"WITH {SERIES}, m AS (SELECT term, median(value) AS med FROM s GROUP BY term), f AS (SELECT s.term, date FROM s JOIN m ON m.term = s.term WHERE value > med), g AS (SELECT term, date, date - CAST(row_number() OVER (PARTITION BY term ORDER BY date) AS INTEGER) AS k FROM f) SELECT term, min(date) AS first_day, max(date) AS last_day, count(*) AS days FROM g GROUP BY term, k HAVING count(*) >= 3")
@@ -529,9 +529,9 @@ def hourly_archive(spark, sf):
     return T.hourly(t(spark, sf, "events")).select("hour", "event_type", "n", r("total", 3))
 
 
-@query("WITH h AS (SELECT DISTINCT date_trunc('hour', ts) AS hour FROM events WHERE event_id % 40 = 0), b AS (SELECT min(hour) AS a, max(hour) AS z FROM h), e AS (SELECT unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS hour FROM b) SELECT hour FROM e WHERE hour NOT IN (SELECT hour FROM h)")
+@query("WITH h AS (SELECT DISTINCT date_trunc('hour', ts) AS hour FROM events), b AS (SELECT min(hour) AS a, max(hour) AS z FROM h), e AS (SELECT unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS hour FROM b) SELECT hour FROM e WHERE hour NOT IN (SELECT hour FROM h)")
 def hour_gaps(spark, sf):
-    return T.hour_gaps(T.hourly(t(spark, sf, "events").filter("event_id % 40 = 0")))
+    return T.hour_gaps(T.hourly(t(spark, sf, "events")))
 
 
 @query("SELECT start, start + INTERVAL 7 DAY AS \"end\", event_type, count(*) AS n FROM (SELECT event_type, date_trunc('day', ts) - k * INTERVAL 1 DAY AS start FROM events, (SELECT unnest(range(7)) AS k)) GROUP BY start, event_type")
@@ -558,9 +558,9 @@ def rule_statistics(spark, sf):
     return M.rule_stats(rows).select("rule_id", "fired", "overridden", "checked", r("override_rate"), "dead")
 
 
-@query("WITH v AS (SELECT o_custkey % 200 AS draft, o_orderkey % 3 AS locus, 'l' || CAST(o_orderkey % 4 AS VARCHAR) AS lens, max(o_orderstatus) AS verdict FROM orders WHERE o_custkey % 10 = 0 GROUP BY 1, 2, 3) SELECT a.draft AS draft, a.locus AS locus, a.lens AS lens_a, a.verdict AS verdict_a, b.lens AS lens_b, b.verdict AS verdict_b FROM v a JOIN v b ON a.draft = b.draft AND a.locus = b.locus AND a.lens < b.lens AND a.verdict <> b.verdict")
+@query("WITH v AS (SELECT o_custkey % 200 AS draft, o_orderkey % 3 AS locus, 'l' || CAST(o_orderkey % 4 AS VARCHAR) AS lens, max(o_orderstatus) AS verdict FROM orders GROUP BY 1, 2, 3) SELECT a.draft AS draft, a.locus AS locus, a.lens AS lens_a, a.verdict AS verdict_a, b.lens AS lens_b, b.verdict AS verdict_b FROM v a JOIN v b ON a.draft = b.draft AND a.locus = b.locus AND a.lens < b.lens AND a.verdict <> b.verdict")
 def review_disagreements(spark, sf):
-    o = t(spark, sf, "orders").filter("o_custkey % 10 = 0")
+    o = t(spark, sf, "orders")
     v = o.groupBy((F.col("o_custkey") % 200).alias("draft"), (F.col("o_orderkey") % 3).alias("locus"), F.concat(F.lit("l"), (F.col("o_orderkey") % 4).cast("string")).alias("lens")).agg(F.max("o_orderstatus").alias("verdict"))
     return M.disagreements(v)
 
@@ -588,9 +588,9 @@ def sitemap_diff(spark, sf):
 # --- further operators ----------------------------------------------------
 
 
-@query("WITH d AS (SELECT l_suppkey AS query, CAST(date_trunc('year', l_shipdate) AS DATE) AS date, list_sort(list_distinct(list(l_partkey))) AS urls FROM lineitem WHERE l_suppkey <= 20 GROUP BY 1, 2), p AS (SELECT query, date, urls[1:10] AS urls FROM d), w AS (SELECT *, lag(urls) OVER (PARTITION BY query ORDER BY date) AS before FROM p), c AS (SELECT query, CAST(len(list_filter(urls, lambda u: NOT list_contains(before, u))) AS DOUBLE) / len(urls) AS t FROM w WHERE before IS NOT NULL) SELECT query, round(avg(t), 6) AS turnover, count(*) AS snapshots FROM c GROUP BY query")
+@query("WITH d AS (SELECT l_suppkey AS query, CAST(date_trunc('year', l_shipdate) AS DATE) AS date, list_sort(list_distinct(list(l_partkey))) AS urls FROM lineitem GROUP BY 1, 2), p AS (SELECT query, date, urls[1:10] AS urls FROM d), w AS (SELECT *, lag(urls) OVER (PARTITION BY query ORDER BY date) AS before FROM p), c AS (SELECT query, CAST(len(list_filter(urls, lambda u: NOT list_contains(before, u))) AS DOUBLE) / len(urls) AS t FROM w WHERE before IS NOT NULL) SELECT query, round(avg(t), 6) AS turnover, count(*) AS snapshots FROM c GROUP BY query")
 def serp_turnover(spark, sf):
-    li = t(spark, sf, "lineitem").filter("l_suppkey <= 20")
+    li = t(spark, sf, "lineitem")
     snaps = li.groupBy(F.col("l_suppkey").alias("query"), F.date_trunc("year", "l_shipdate").cast("date").alias("date")).agg(F.sort_array(F.collect_set("l_partkey")).alias("urls"))
     return M.turnover(snaps).select("query", r("turnover"), "snapshots")
 
@@ -601,9 +601,9 @@ def source_age(spark, sf):
     return M.source_age(c.select(F.col("p_brand").alias("page"), F.lit(dt.date(2002, 1, 1)).alias("checked"), F.to_date("l_shipdate").alias("published")))
 
 
-@query("WITH f AS (SELECT l_orderkey AS query, l_linenumber % 3 AS k FROM lineitem WHERE l_orderkey % 20 = 0), i AS (SELECT query, CASE k WHEN 0 THEN 'informational' WHEN 1 THEN 'transactional' ELSE 'commercial' END AS intent, count(*) AS n FROM f GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, intent) AS rn, sum(n) OVER (PARTITION BY query) AS tot FROM i) SELECT query, intent, round(CAST(n AS DOUBLE) / tot, 6) AS confidence, CAST(n AS DOUBLE) / tot < 0.5 AS arbitrate FROM rk WHERE rn = 1")
+@query("WITH f AS (SELECT l_orderkey AS query, l_linenumber % 3 AS k FROM lineitem), i AS (SELECT query, CASE k WHEN 0 THEN 'informational' WHEN 1 THEN 'transactional' ELSE 'commercial' END AS intent, count(*) AS n FROM f GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, intent) AS rn, sum(n) OVER (PARTITION BY query) AS tot FROM i) SELECT query, intent, round(CAST(n AS DOUBLE) / tot, 6) AS confidence, CAST(n AS DOUBLE) / tot < 0.5 AS arbitrate FROM rk WHERE rn = 1")
 def query_intent(spark, sf):
-    li = t(spark, sf, "lineitem").filter("l_orderkey % 20 = 0")
+    li = t(spark, sf, "lineitem")
     feats = li.groupBy(F.col("l_orderkey").alias("query")).agg(F.collect_list((F.col("l_linenumber") % 3).cast("int")).alias("features"))
     rules = spark.createDataFrame([(0, "informational"), (1, "transactional"), (2, "commercial")], "feature int, intent string")
     return M.intent_of(feats, rules).select("query", "intent", r("confidence"), "arbitrate")
@@ -628,19 +628,19 @@ def claim_shares(spark, sf):
     return C.claim_rules(c).select("draft", r("sourced_share"), r("primary_share"), "dead", "first_party")
 
 
-@query("SELECT p_type AS key, count(DISTINCT p_size) AS values, count(DISTINCT p_brand) AS files FROM part WHERE p_partkey % 9 = 0 GROUP BY p_type HAVING count(DISTINCT p_size) > 1")
+@query("SELECT p_type AS key, count(DISTINCT p_size) AS values, count(DISTINCT p_brand) AS files FROM part GROUP BY p_type HAVING count(DISTINCT p_size) > 1")
 def threshold_homes(spark, sf):
-    return C.threshold_homes(t(spark, sf, "part").filter("p_partkey % 9 = 0").select(F.col("p_type").alias("key"), F.col("p_size").alias("value"), F.col("p_brand").alias("file")))
+    return C.threshold_homes(t(spark, sf, "part").select(F.col("p_type").alias("key"), F.col("p_size").alias("value"), F.col("p_brand").alias("file")))
 
 
-@query("WITH e AS (SELECT p_brand AS s, regexp_replace(lower(trim(p_type)), '\\s+', ' ', 'g') AS norm, p_size > 45 AS forbidden FROM part WHERE p_partkey % 7 = 0) SELECT DISTINCT a.norm AS norm, a.s AS prescribed_by, b.s AS forbidden_by FROM e a JOIN e b ON a.norm = b.norm WHERE NOT a.forbidden AND b.forbidden")
+@query("WITH e AS (SELECT p_brand AS s, regexp_replace(lower(trim(p_type)), '\\s+', ' ', 'g') AS norm, p_size > 45 AS forbidden FROM part) SELECT DISTINCT a.norm AS norm, a.s AS prescribed_by, b.s AS forbidden_by FROM e a JOIN e b ON a.norm = b.norm WHERE NOT a.forbidden AND b.forbidden")
 def prescribed_forbidden(spark, sf):
-    return C.prescribed_forbidden(t(spark, sf, "part").filter("p_partkey % 7 = 0").select(F.col("p_brand").alias("set"), F.col("p_type").alias("phrase"), (F.col("p_size") > 45).alias("forbidden")))
+    return C.prescribed_forbidden(t(spark, sf, "part").select(F.col("p_brand").alias("set"), F.col("p_type").alias("phrase"), (F.col("p_size") > 45).alias("forbidden")))
 
 
-@query("SELECT o_custkey % 40 AS pillar_id, count(*) AS clusters FROM orders WHERE o_orderkey % 300 = 0 GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT o_custkey % 40 AS pillar_id, count(*) AS clusters FROM orders GROUP BY 1 HAVING count(*) > 1")
 def pillar_groups(spark, sf):
-    return G.pillar_groups(t(spark, sf, "orders").filter("o_orderkey % 300 = 0").select((F.col("o_custkey") % 40).alias("pillar_id"), F.col("o_orderkey").alias("cluster_id"))).drop("cluster_ids")
+    return G.pillar_groups(t(spark, sf, "orders").select((F.col("o_custkey") % 40).alias("pillar_id"), F.col("o_orderkey").alias("cluster_id"))).drop("cluster_ids")
 
 
 @query("WITH x AS (SELECT CAST(l_shipdate AS DATE) AS data_date, l_linenumber AS v FROM lineitem WHERE l_linestatus = 'O'), e AS (SELECT data_date, max(v) AS epoch_version FROM x GROUP BY 1), b AS (SELECT CAST(l_shipdate AS DATE) AS data_date, min(l_linenumber) + 3 AS v FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1) SELECT e.data_date AS data_date, CAST(v AS INTEGER) AS _before, CAST(epoch_version AS INTEGER) AS epoch_version FROM e JOIN b ON e.data_date = b.data_date WHERE epoch_version > v")
@@ -663,11 +663,11 @@ def change_outcomes(spark, sf):
     return t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), M.change_outcome(F.lit(4000.0), F.col("c_acctbal"), F.lit(0.5), F.col("c_custkey") % 2 == 0).alias("outcome"))
 
 
-@query("WITH s AS (SELECT p_partkey AS id, p_size / 10.0 AS z, p_size / 25.0 AS a, p_partkey % 5 AS s FROM part), c AS (SELECT id, 0.35 * least(greatest(z / 5.0, 0), 1) + 0.25 * least(greatest(a / 5.0, 0), 1) + 0.25 * (s / 4.0) + 0.15 * 0.5 AS sc FROM s) SELECT id, round(CAST(sc AS DOUBLE), 6) AS score, CASE WHEN sc >= 0.65 THEN 'plan' WHEN sc >= 0.45 THEN 'watchlist' ELSE 'discarded' END AS bucket FROM c WHERE abs(sc - 0.65) > 1e-9 AND abs(sc - 0.45) > 1e-9")
+@query("WITH s AS (SELECT p_partkey AS id, p_size / 10.0 AS z, p_size / 25.0 AS a, p_partkey % 5 AS s FROM part), c AS (SELECT id, 0.35 * least(greatest(z / 5.0, 0), 1) + 0.25 * least(greatest(a / 5.0, 0), 1) + 0.25 * (s / 4.0) + 0.15 * 0.5 AS sc FROM s) SELECT id, round(CAST(sc AS DOUBLE), 6) AS score, CASE WHEN sc + 1e-9 >= 0.65 THEN 'plan' WHEN sc + 1e-9 >= 0.45 THEN 'watchlist' ELSE 'discarded' END AS bucket FROM c")
 def trend_scores(spark, sf):
     p = t(spark, sf, "part")
     score = M.trend_score(F.col("p_size") / 10.0, F.col("p_size") / 25.0, F.col("p_partkey") % 5, F.lit(0.5), 4)
-    out = p.select(F.col("p_partkey").alias("id"), score.alias("sc")).filter((F.abs(F.col("sc") - 0.65) > 1e-9) & (F.abs(F.col("sc") - 0.45) > 1e-9))
+    out = p.select(F.col("p_partkey").alias("id"), score.alias("sc"))
     return out.select("id", r("sc", 6, "score"), M.trend_bucket(F.col("sc")).alias("bucket"))
 
 
@@ -677,15 +677,15 @@ def queue_append(spark, sf):
     return M.queue_append(o.filter("id % 2 = 0"), o.filter("id % 3 = 0"), ["id"])
 
 
-@query("WITH v AS (SELECT o_custkey AS file, o_orderkey AS line_no, o_orderpriority AS c FROM orders WHERE o_orderkey % 4 = 0), s AS (SELECT DISTINCT o_custkey AS file, o_orderkey AS line_no, o_orderpriority AS c FROM orders WHERE o_orderkey % 6 = 0 AND o_orderpriority <> 'suppressions') SELECT v.file AS file, v.line_no AS line_no, v.c AS \"check\" FROM v LEFT JOIN s ON v.file = s.file AND v.line_no = s.line_no AND v.c = s.c WHERE s.file IS NULL")
+@query("WITH v AS (SELECT o_custkey AS file, o_orderkey AS line_no, o_orderpriority AS c FROM orders), s AS (SELECT DISTINCT o_custkey AS file, o_orderkey AS line_no, o_orderpriority AS c FROM orders WHERE o_orderkey % 6 = 0 AND o_orderpriority <> 'suppressions') SELECT v.file AS file, v.line_no AS line_no, v.c AS \"check\" FROM v LEFT JOIN s ON v.file = s.file AND v.line_no = s.line_no AND v.c = s.c WHERE s.file IS NULL")
 def unsuppressed(spark, sf):
     o = t(spark, sf, "orders").select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("line_no"), F.col("o_orderpriority").alias("check"))
-    return C.suppressed(o.filter("line_no % 4 = 0"), o.filter("line_no % 6 = 0"))[0]
+    return C.suppressed(o, o.filter("line_no % 6 = 0"))[0]
 
 
-@query("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id < 200) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 4) AS similarity FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) > 0.25")
+@query("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 4) AS similarity FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) > 0.25")
 def near_queries(spark, sf):
-    e = t(spark, sf, "embeddings").filter("vec_id < 200")
+    e = t(spark, sf, "embeddings")
     a = e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("va"))
     b = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("vb"))
     out = a.join(b, "label").filter("a < b").withColumn("similarity", cosine(F.col("va"), F.col("vb"))).filter("similarity > 0.25")

@@ -68,7 +68,7 @@ def test_depth_and_rank_queries_go_to_the_end(spark, tmp_path):
     rows = [(i, i, 1, 1.0) for i in range(1, 7)] + [(j, i, 2, 30.0) for i, j in hops if i != j] + [(1, 9, 5, 1.0)]
     spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     depth = {x["node"]: x["depth"] for x in Q.QUERIES["click_depth"](spark, str(tmp_path)).collect()}
-    assert depth == {f"p{i}": 2 * i - 2 for i in range(1, 8)} | {f"s{i}": 2 * i - 1 for i in range(1, 7)}
+    assert depth == {f"p{i}": 2 * i - 2 for i in range(1, 8)} | {f"s{i}": 2 * i - 1 for i in range(1, 7)} | {"s9": 1}
     links = {(f"p{a}", f"s{b}") for a, b, *_ in rows} | {(f"s{b}", f"p{a}") for a, b, _, q in rows if q > 25}
     nodes = {x for e in links for x in e}
     rank = dict.fromkeys(nodes, 1 / len(nodes))
