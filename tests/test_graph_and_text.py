@@ -77,7 +77,7 @@ def test_depth_and_rank_queries_go_to_the_end(spark, tmp_path):
         lost = sum(rank[v] for v in nodes if not out[v])
         rank = {v: (0.15 + 0.85 * lost) / len(nodes) + 0.85 * sum(rank[a] / len(out[a]) for a, b in links if b == v) for v in nodes}
     got = {x["node"]: x["rank"] for x in Q.QUERIES["page_rank"](spark, str(tmp_path)).collect()}
-    assert got.keys() == nodes and all(abs(got[v] - rank[v]) < 1e-9 for v in nodes)
+    assert got.keys() == nodes and all(abs(got[v] - rank[v]) < 6e-9 for v in nodes)  # the query rounds to eight digits
 
 
 def test_ngram_overlap_and_short_texts(spark):
