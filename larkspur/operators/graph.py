@@ -220,3 +220,38 @@ def link_candidates(donors: DataFrame, targets: DataFrame, least: float = 0.78,
     right = targets.select(F.col("id").alias("target"), "cluster", F.col("vector").alias("_b"))
     out = left.join(right, "cluster").filter("donor <> target").withColumn("similarity", cosine(F.col("_a"), F.col("_b")))
     return out.filter(F.col("similarity") >= least).select("donor", "target", "cluster", "similarity")
+
+
+def link_gates(pairs: DataFrame, least: float = 0.78, noise: float = 0.50, furthest: float = 0.33) -> DataFrame:
+    """Proposed links with the first gate that refuses each (``refused_by``, null for those that pass all that code can decide).
+
+    ``donor``, ``target``, ``similarity``, ``from_kind``, ``to_kind``, ``same_cluster``, ``priority_target``, ``first_mention``, ``same_intent``,
+    ``position`` (place of the link in the text, 0..1), ``anchor_targets`` (pages that the anchor points at already, this one not counted).
+    """
+    to = F.col("to_kind")
+    allowed = ((F.col("from_kind") == "cluster") & ((to == "pillar") | ((to == "cluster") & F.col("same_cluster")))) | ((F.col("from_kind") == "pillar") & (to == "cluster") & F.col("priority_target")) | ((to == "definition") & F.col("first_mention")) | ((to == "commercial") & F.col("same_intent"))
+    first = F.when(F.col("similarity") < noise, "noise").when(F.col("similarity") < least, "similarity").when(~F.coalesce(allowed, F.lit(False)), "hierarchy").when(F.col("position") > furthest, "position").when(F.col("anchor_targets") > 0, "anchor")
+    return pairs.withColumn("refused_by", first)
+
+
+def link_priorities(targets: DataFrame) -> DataFrame:
+    """The order in which targets get links: orphans and weak pages, deep ones, those within reach, those that convert, hubs. ``page``, ``inlinks``, ``link_score``, ``median_score``, ``depth``, ``position``, ``conversion_high``, ``external_links``."""
+    tier = F.when((F.col("inlinks") == 0) | (F.col("link_score") < F.col("median_score")), 1).when(F.col("depth") > 3, 2).when(F.col("position").between(5, 20), 3).when(F.col("conversion_high"), 4).when(F.col("external_links") > 0, 5)
+    return targets.select("page", tier.alias("tier")).filter("tier is not null")
+
+
+def site_focus(vectors: DataFrame, key: str = "id", col: str = "vector") -> DataFrame:
+    """One row: the mean distance of all pages from the site's centre as ``radius``, and 1 minus it as ``focus``."""
+    return site_radius(vectors, key, col).agg(F.avg("radius").alias("radius")).withColumn("focus", 1 - F.col("radius"))
+
+
+def mates_changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Queries of both runs whose mates among these queries differ: ``id``, ``left`` and ``joined`` (sorted ids). ``id``, ``cluster_id``.
+
+    Only members of clusters that changed are listed; a cluster's common members are gathered once, not for each of them.
+    """
+    moved = drift(before, after)
+    old = moved.groupBy("old").agg(F.collect_set("id").alias("_was"))
+    new = moved.groupBy("new").agg(F.collect_set("id").alias("_is"))
+    held = moved.filter("changed").join(old, "old").join(new, "new")
+    return held.select("id", F.sort_array(F.array_except("_was", "_is")).alias("left"), F.sort_array(F.array_except("_is", "_was")).alias("joined"))

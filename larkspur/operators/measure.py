@@ -213,3 +213,69 @@ def intent_of(features: DataFrame, rules: DataFrame) -> DataFrame:
     top = by.groupBy("query").agg(F.min(F.struct((-F.col("n")).alias("n"), "intent")).alias("m"), F.sum("n").alias("signals"))
     confidence = -F.col("m.n") / F.col("signals")
     return top.select("query", F.col("m.intent").alias("intent"), confidence.alias("confidence"), (confidence < 0.5).alias("arbitrate"))
+
+
+def gap_types(pairs: DataFrame, top: int = 10, outside: int = 100, stale_days: int = 180) -> DataFrame:
+    """The seven ways in which others are ahead on a topic, one row for each: ``topic``, ``gap``.
+
+    ``topic``, ``their_position``, ``our_position``, ``their_entities``, ``our_entities``, ``their_depth``, ``our_depth`` (blocks of
+    content), ``wanted_formats``, ``our_formats``, ``their_intents``, ``our_intents``, ``their_updated``, ``our_updated`` (dates), ``their_cited``, ``our_cited``.
+    """
+    have = F.col("our_position").isNotNull()
+    lacks = lambda a, b: F.size(F.array_except(a, b)) > 0
+    tests = {
+        "keyword": (F.col("their_position") <= top) & (~have | (F.col("our_position") > outside)),
+        "entity": have & lacks("their_entities", "our_entities"),
+        "depth": have & (F.col("their_depth") > F.col("our_depth")),
+        "format": lacks("wanted_formats", "our_formats"),
+        "intent": have & lacks("their_intents", "our_intents"),
+        "freshness": have & (F.datediff("their_updated", "our_updated") > stale_days),
+        "citation": F.col("their_cited") & ~F.col("our_cited"),
+    }
+    found = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in tests.items()]), lambda x: x.isNotNull())
+    return pairs.select("topic", F.explode(found).alias("gap"))
+
+
+def refresh_queue(pages: DataFrame) -> DataFrame:
+    """Pages to refresh: ``page``, ``score`` (traffic potential times business value times effort efficiency), ``bucket``, ``trigger``, ``needs_approval``.
+
+    ``page``, ``traffic``, ``value``, ``efficiency`` (0..1), ``position``, ``decline`` (relative change over three months), ``overtaken``, ``volume_high``,
+    ``competing``, ``age_months``, ``citation_lost``.
+    """
+    down = F.col("decline") < 0
+    bucket = F.when(F.col("competing"), "consolidation").when(F.col("overtaken"), "competitive_threat").when(F.col("volume_high") & (F.col("position") > 10), "foundation_rebuild").when((F.col("position") <= 10) & down, "quick_win")
+    by_age = F.when(F.col("age_months") >= 24, "rewrite_or_delete").when(F.col("age_months") >= 18, "full_refresh").when(F.col("age_months") >= 12, "gap_analysis").when(F.col("age_months") >= 6, "numbers")
+    trigger = F.when(F.col("citation_lost"), "freshness").when(F.col("overtaken"), "competitive").when(down, "urgent").otherwise(by_age)
+    out = pages.select("page", F.round(F.col("traffic") * F.col("value") * F.col("efficiency"), 6).alias("score"), bucket.alias("bucket"), trigger.alias("trigger"))
+    return out.filter("bucket is not null or trigger is not null").withColumn("needs_approval", F.coalesce(F.col("bucket").isin("consolidation", "foundation_rebuild"), F.lit(False)))
+
+
+def process_indicators(drafts: DataFrame, changes: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row: human minutes for each published draft (its own, and with those of the rejected), rework, rule churn, days to a merged change, share of confirmed changes.
+
+    ``drafts``: ``draft``, ``minutes``, ``published``, ``reworks``. ``changes``: ``reached``, ``merged`` (dates), ``verdict``. ``rules``: ``rule_id``, ``change`` (null, added, modified, deleted).
+    """
+    n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
+    one = F.lit(1).alias("_k")
+    a = drafts.agg(F.try_divide(F.sum(F.when(F.col("published"), F.col("minutes"))).cast("double"), n(F.col("published"))).alias("htpi_published"), F.try_divide(F.sum("minutes").cast("double"), n(F.col("published"))).alias("htpi_true"), F.avg((F.col("reworks") > 0).cast("double")).alias("rework_rate"), F.avg(F.col("reworks").cast("double")).alias("rework_iterations"), one)
+    b = changes.agg(F.median(F.datediff("merged", "reached")).alias("days_to_merge"), F.try_divide(n(F.col("verdict") == "confirmed").cast("double"), n(F.col("verdict").isin("confirmed", "reverted", "inconclusive"))).alias("confirmation_rate"), one)
+    c = rules.agg(F.try_divide(F.count("change").cast("double"), F.count(F.lit(1))).alias("churn"), one)
+    return a.join(b, "_k").join(c, "_k").drop("_k")
+
+
+def conflicting_rules(outcomes: DataFrame, least: int = 3) -> DataFrame:
+    """Pairs of rules of which one is overridden wherever the other fires. ``rule_id``, ``page``, ``fired``, ``overridden``. A page fires a handful of rules."""
+    hits = outcomes.filter("fired").select("page", "rule_id", "overridden").distinct()
+    a, b = (hits.select("page", F.col("rule_id").alias(f"rule_{x}"), F.col("overridden").alias(f"_{x}")) for x in "ab")
+    both = a.join(b, "page").filter("rule_a < rule_b").groupBy("rule_a", "rule_b").agg(F.count(F.lit(1)).alias("pages"), F.sum((F.col("_a") != F.col("_b")).cast("int")).alias("opposed"))
+    return both.filter((F.col("pages") >= least) & (F.col("opposed") == F.col("pages")))
+
+
+def hidden_content(pages: DataFrame, share: float = 0.30) -> DataFrame:
+    """Pages whose markup has few of the words that the rendered page shows. ``url``, ``raw_words``, ``rendered_words``."""
+    return pages.filter(F.col("raw_words") < share * F.col("rendered_words")).select("url", "raw_words", "rendered_words")
+
+
+def generated_timestamps(pages: DataFrame, run_date: str, share: float = 0.50) -> DataFrame:
+    """One row: the share of rows that were changed on the day of the run, and whether their dates tell nothing (``use_hash``). ``updated_at``."""
+    return pages.agg(F.round(F.avg((F.to_date("updated_at") == F.lit(run_date).cast("date")).cast("double")), 6).alias("today_share")).withColumn("use_hash", F.col("today_share") > share)

@@ -80,11 +80,21 @@ def with_group(pages: DataFrame, corpus: DataFrame | None, col: str = "page") ->
     return out.withColumn("grouping", F.when(found.isNotNull(), "corpus_cluster").otherwise("url_path_segment")).withColumn("cluster", F.coalesce(found, own)).drop("_c1", "_c2")
 
 
-def striking(now: DataFrame, t: Thresholds, curve: Mapping[int, float] | None = None) -> DataFrame:
-    """Pairs within reach of the first places, by the clicks that they leave."""
+def rates(pairs: DataFrame, curve: Mapping[int, float] | None, profiles: DataFrame | None, curves: Mapping[str, Mapping[int, float]] | None) -> DataFrame:
+    """``pairs`` with ``ctr_expected``: from one curve, or from that of the query's result page (``profiles``: query, profile; others are ``clean``)."""
+    if profiles is None:
+        return pairs.withColumn("ctr_expected", expected_ctr(F.col("position"), curve))
+    by = profiles.select(F.col("query").alias("_query"), F.col("profile").alias("_profile")).dropDuplicates(["_query"])
+    held = pairs.join(by, F.col("query") == F.col("_query"), "left").withColumn("_profile", F.coalesce("_profile", F.lit("clean")))
+    value = F.coalesce(*[F.when(F.col("_profile") == name, expected_ctr(F.col("position"), own)) for name, own in (curves or {}).items()], expected_ctr(F.col("position"), curve))
+    return held.withColumn("ctr_expected", value).drop("_query", "_profile")
+
+
+def striking(now: DataFrame, t: Thresholds, curve: Mapping[int, float] | None = None, profiles: DataFrame | None = None, curves: Mapping[str, Mapping[int, float]] | None = None) -> DataFrame:
+    """Pairs within reach of the first places, by the clicks that they leave. The curve is one for all, or goes by the query's result page, see :func:`rates`."""
     t.reset()
     least, low, high, ceiling, cap = (t.get(f"striking.{k}") for k in ("min_impressions", "position_min", "position_max", "max_ctr", "result_cap"))
-    pairs = aggregate(now, "query", "page").withColumn("ctr_expected", expected_ctr(F.col("position"), curve))
+    pairs = rates(aggregate(now, "query", "page"), curve, profiles, curves)
     gap = F.col("ctr_expected") - F.col("ctr")
     kept = pairs.filter((F.col("impressions") >= least) & F.col("position").between(low, high) & (gap > 0))
     if ceiling is not None:
@@ -94,10 +104,10 @@ def striking(now: DataFrame, t: Thresholds, curve: Mapping[int, float] | None =
     return kept.withColumn("action", action).orderBy(F.desc("opportunity_score"), "query", "page").limit(cap)
 
 
-def ctr_outliers(now: DataFrame, t: Thresholds, curve: Mapping[int, float] | None = None) -> DataFrame:
+def ctr_outliers(now: DataFrame, t: Thresholds, curve: Mapping[int, float] | None = None, profiles: DataFrame | None = None, curves: Mapping[str, Mapping[int, float]] | None = None) -> DataFrame:
     t.reset()
     least, part, high = (t.get(f"ctr_outliers.{k}") for k in ("min_impressions", "ratio", "max_position"))
-    pairs = aggregate(now, "query", "page").withColumn("ctr_expected", expected_ctr(F.col("position"), curve))
+    pairs = rates(aggregate(now, "query", "page"), curve, profiles, curves)
     return pairs.filter((F.col("impressions") >= least) & (F.col("position") <= high) & (F.col("ctr") < part * F.col("ctr_expected")))
 
 

@@ -703,3 +703,4 @@ def report_summary(spark, sf):
 
 from larkspur.plans import gate as _gate  # noqa: E402, F401  (registers its queries)
 from larkspur.plans import lint as _lint  # noqa: E402, F401
+from larkspur.plans import inputs as _inputs  # noqa: E402, F401
