@@ -324,7 +324,8 @@ def _met(often: pa.ChunkedArray, key: int) -> np.ndarray:
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("_node").alias("_b"), F.col("_set").alias("_y"))
     two = sets.select(F.col("_node").alias("_a"), F.col("_set").alias("_x"))
-    return pairs.join(one, "_b").join(two, "_a").select("_a", "_b", "_x", "_y").mapInArrow(_verified(percent), "_a long, _b long").distinct()
+    # By merge at every size: the sets are as large as the texts.
+    return pairs.join(one.hint("merge"), "_b").join(two.hint("merge"), "_a").select("_a", "_b", "_x", "_y").mapInArrow(_verified(percent), "_a long, _b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -432,7 +433,7 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     single = written(links.unionByName(_links(others, sets, percent)).select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct(), "links")
     lists = written(often.groupBy("_node").agg(F.collect_set("_key").alias("_often")), "frequent-lists")
     dealt = crowd.select("_key", "_node", "_label", "_own", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_with")).withColumn("_i", F.least("_own", "_with")).withColumn("_j", F.greatest("_own", "_with"))
-    dealt = dealt.join(sets, "_node").join(lists, "_node").select("_key", "_i", "_j", "_own", "_node", "_label", "_often", "_set")
+    dealt = dealt.join(sets.hint("merge"), "_node").join(lists.hint("merge"), "_node").select("_key", "_i", "_j", "_own", "_node", "_label", "_often", "_set")
     blocked = written(dealt.groupBy("_key", "_i", "_j").applyInArrow(_compared(percent), "_a long, _b long, _n long"), "compared")
     labels = components(single.unionByName(blocked.filter("_n is null").select("_a", "_b")).distinct())
 
