@@ -324,7 +324,6 @@ def _met(often: pa.ChunkedArray, key: int) -> np.ndarray:
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("_node").alias("_b"), F.col("_set").alias("_y"))
     two = sets.select(F.col("_node").alias("_a"), F.col("_set").alias("_x"))
-    # By merge at every size: the sets are as large as the texts.
     return pairs.join(one.hint("merge"), "_b").join(two.hint("merge"), "_a").select("_a", "_b", "_x", "_y").mapInArrow(_verified(percent), "_a long, _b long").distinct()
 
 
@@ -383,26 +382,28 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     profiles = written(rows.mapInArrow(_profiles(n), "_id long, _n long, _node long"), "profiles")
     firsts = profiles.filter("_n > 0").groupBy("_node").agg(F.min("_id").alias("_first"))
 
+    # Keys and sets are joined by merge at every size: they grow with the texts, and a
+    # plan that broadcasts them on a small input says nothing about a large one.
     keys = rows.select("_text").mapInArrow(_key_rows(n, percent), "_key long, _node long, _how int")
     live = keys.repartition(wide, "_key").sortWithinPartitions("_key", "_node").mapInArrow(_live, "_key long, _node long, _how int, _frequent boolean")
     live = written(live, "live-keys")
     # A set with fewer frequent keys than any partner has in common with it has a rare one in common with each.
     level, need = F.col("_how") % 64, F.shiftright("_how", 6)
     counted = live.filter("_frequent").groupBy("_node", "_how").agg(F.count(F.lit(1)).cast("int").alias("_many"))
-    rare = live.filter("not _frequent").join(counted, ["_node", "_how"], "left")
+    rare = live.filter("not _frequent").join(counted.hint("merge"), ["_node", "_how"], "left")
     rare = written(rare.select("_key", "_node", level.cast("byte").alias("_level"), need.alias("_need"), F.coalesce("_many", F.lit(0)).alias("_hidden")), "rare-keys")
     # The others share as many frequent keys as they need, so one of them is among the first ones but those.
     place = F.row_number().over(Window.partitionBy("_node", "_how").orderBy("_key"))
-    often = live.filter("_frequent").join(counted, ["_node", "_how"]).filter(F.col("_many") >= need).withColumn("_place", place)
+    often = live.filter("_frequent").join(counted.hint("merge"), ["_node", "_how"]).filter(F.col("_many") >= need).withColumn("_place", place)
     often = written(often.filter(F.col("_place") <= F.col("_many") - need + 1).select("_key", "_node", level.cast("int").alias("_level")), "frequent-keys")
     discard(live)
 
     # What two partners have in common at the level where they meet: rare keys, all but the frequent ones.
     least = lambda n1, n2, h1, h2: F.greatest(F.lit(1), F.greatest(n1, n2) - F.greatest(h1, h2))
     leaders = rare.groupBy("_key").agg(F.min(F.struct("_node", "_need", "_hidden")).alias("_lead"))
-    best = rare.join(leaders, "_key").filter("_node <> _lead._node").groupBy("_node", F.col("_lead._node").alias("_a"), "_level").agg(F.count(F.lit(1)).alias("_many"), F.max(least(F.col("_need"), F.col("_lead._need"), F.col("_hidden"), F.col("_lead._hidden"))).alias("_least"))
+    best = rare.join(leaders.hint("merge"), "_key").filter("_node <> _lead._node").groupBy("_node", F.col("_lead._node").alias("_a"), "_level").agg(F.count(F.lit(1)).alias("_many"), F.max(least(F.col("_need"), F.col("_lead._need"), F.col("_hidden"), F.col("_lead._hidden"))).alias("_least"))
     best = best.filter("_many >= _least").groupBy("_node").agg(F.max(F.struct("_many", "_a")).alias("_best"))
-    more = often.join(often.groupBy("_key").agg(F.min("_node").alias("_a")), "_key").filter("_node <> _a").groupBy("_node", "_a").agg(F.count(F.lit(1)).alias("_many")).groupBy("_node").agg(F.max(F.struct("_many", "_a")).alias("_best"))
+    more = often.join(often.groupBy("_key").agg(F.min("_node").alias("_a")).hint("merge"), "_key").filter("_node <> _a").groupBy("_node", "_a").agg(F.count(F.lit(1)).alias("_many")).groupBy("_node").agg(F.max(F.struct("_many", "_a")).alias("_best"))
     first_pairs = written(best.unionByName(more).select(F.col("_best._a").alias("_a"), F.col("_node").alias("_b")).distinct(), "pairs")
 
     ends = lambda pairs: pairs.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct()
@@ -417,18 +418,18 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     labels = written(components(links), "labels")
     label = F.coalesce(F.col("_label"), F.col("_node"))
     side = lambda n: rare.select("_key", F.col("_node").alias(f"_{n}"), F.col("_need").alias(f"_n{n}"), F.col("_hidden").alias(f"_h{n}"), *(["_level"] if n == "a" else []))
-    others = side("a").join(side("b"), "_key").filter("_a < _b").groupBy("_a", "_b", "_level").agg(F.count(F.lit(1)).alias("_many"), F.max(least(F.col("_na"), F.col("_nb"), F.col("_ha"), F.col("_hb"))).alias("_least"))
+    others = side("a").join(side("b").hint("merge"), "_key").filter("_a < _b").groupBy("_a", "_b", "_level").agg(F.count(F.lit(1)).alias("_many"), F.max(least(F.col("_na"), F.col("_nb"), F.col("_ha"), F.col("_hb"))).alias("_least"))
     others = others.filter("_many >= _least").select("_a", "_b").distinct()
     done = first_pairs.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
-    others = written(others.join(done, ["_a", "_b"], "left_anti"), "pairs")
+    others = written(others.join(done.hint("merge"), ["_a", "_b"], "left_anti"), "pairs")
 
-    crowd = often.join(labels, "_node", "left").withColumn("_label", label)
+    crowd = often.join(labels.hint("merge"), "_node", "left").withColumn("_label", label)
     sizes = crowd.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1")
     chunk = F.greatest(F.lit(16.0), F.least(F.lit(float(CHUNK)), F.lit(float(CHUNK_TOKENS)) / F.pow(F.lit(2.0), F.col("_level") + 2)))
-    crowd = crowd.join(sizes, "_key").withColumn("_parts", F.ceil(F.col("_many") / chunk).cast("int")).withColumn("_own", F.pmod(F.xxhash64("_node", "_key"), F.col("_parts")).cast("int"))
+    crowd = crowd.join(sizes.hint("merge"), "_key").withColumn("_parts", F.ceil(F.col("_many") / chunk).cast("int")).withColumn("_own", F.pmod(F.xxhash64("_node", "_key"), F.col("_parts")).cast("int"))
     crowd = written(crowd.select("_key", "_node", "_label", "_own", "_parts"), "crowds")
 
-    needed = ends(others).unionByName(crowd.select("_node")).distinct().join(sets, "_node", "left_anti")
+    needed = ends(others).unionByName(crowd.select("_node")).distinct().join(sets.hint("merge"), "_node", "left_anti")
     sets = sets.unionByName(sets_of(needed))
     single = written(links.unionByName(_links(others, sets, percent)).select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct(), "links")
     lists = written(often.groupBy("_node").agg(F.collect_set("_key").alias("_often")), "frequent-lists")
