@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.kernels import _BYTE, _tables, blocks, buffers, mix
+from larkspur.llm.kernels import _BYTE, _tables, blocks, buffers, mix, release
 
 _MARK = "▁"
 #: Bytes from which a unit is looked at for places that no piece crosses, and is segmented by itself; bytes of it that are handled at once.
@@ -320,12 +320,13 @@ def decode_block(pieces: Pieces, ids: np.ndarray, offsets: np.ndarray) -> tuple[
 
 def _encode(shared, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "_text", 1 << 20):
+        for batch in blocks(batches, "_text", 1 << 19):
             data, offsets = buffers(batch.column("_text"))
             ids, bounds = encode_block(shared.value, data, offsets, np.asarray(batch.column("_key")).view(np.uint64), seed)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
             rest = [batch.column(i) for i in range(batch.num_columns - 2)]
             yield pa.RecordBatch.from_arrays([*rest, lists], [*batch.schema.names[:-2], "_ids"])
+            release()
 
     return run
 
