@@ -359,7 +359,7 @@ CHUNK, CHUNK_TOKENS = 1024, 1 << 19
 BROADCAST_IDS = 200_000
 
 
-def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """Documents whose sets of word n-grams have a Jaccard similarity of ``percent`` or more, and what that links.
 
     Words are runs outside white space with A-Z lower-cased. A text with fewer
@@ -367,7 +367,9 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     blank texts have none and link with nothing. Returns one row for each row
     of ``docs``: ``id_col``, ``n_shingles``, ``component_id`` (the least id
     reachable by links, its own included) and ``n_links`` (the number of other
-    sets that its set is linked with, each counted once). Ids are
+    sets that its set is linked with, each counted once). Without ``count_links``
+    that column is left out, and sets that are known to be in one component, whose
+    comparison can't change it, are not compared again. Ids are
     integers; a null id counts as the smallest and is returned as null. Rows that
     repeat an id are compared as separate texts; an id with several texts takes
     part in the components of all of them, and each row shows its own text's. A
@@ -421,10 +423,15 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     others = side("a").join(side("b").hint("merge"), "_key").filter("_a < _b").groupBy("_a", "_b", "_level").agg(F.count(F.lit(1)).alias("_many"), F.max(least(F.col("_na"), F.col("_nb"), F.col("_ha"), F.col("_hb"))).alias("_least"))
     others = others.filter("_many >= _least").select("_a", "_b").distinct()
     done = first_pairs.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
-    others = written(others.join(done.hint("merge"), ["_a", "_b"], "left_anti"), "pairs")
+    others = others.join(done.hint("merge"), ["_a", "_b"], "left_anti")
+    if not count_links:
+        named = lambda c: labels.select(F.col("_node").alias(c), F.col("_label").alias(f"_l{c}"))
+        others = others.join(named("_a"), "_a", "left").join(named("_b"), "_b", "left").filter(F.coalesce("_l_a", "_a") != F.coalesce("_l_b", "_b")).select("_a", "_b")
+    others = written(others, "pairs")
 
     crowd = often.join(labels.hint("merge"), "_node", "left").withColumn("_label", label)
-    sizes = crowd.groupBy("_key").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1")
+    sizes = crowd.groupBy("_key").agg(F.count(F.lit(1)).alias("_many"), (F.min("_label") != F.max("_label")).alias("_apart")).filter("_many > 1")
+    sizes = (sizes if count_links else sizes.filter("_apart")).drop("_apart")
     chunk = F.greatest(F.lit(16.0), F.least(F.lit(float(CHUNK)), F.lit(float(CHUNK_TOKENS)) / F.pow(F.lit(2.0), F.col("_level") + 2)))
     crowd = crowd.join(sizes.hint("merge"), "_key").withColumn("_parts", F.ceil(F.col("_many") / chunk).cast("int")).withColumn("_own", F.pmod(F.xxhash64("_node", "_key"), F.col("_parts")).cast("int"))
     crowd = written(crowd.select("_key", "_node", "_label", "_own", "_parts"), "crowds")
@@ -438,6 +445,8 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     blocked = written(dealt.groupBy("_key", "_i", "_j").applyInArrow(_compared(percent), "_a long, _b long, _n long"), "compared")
     labels = components(single.unionByName(blocked.filter("_n is null").select("_a", "_b")).distinct())
 
+    if not count_links:
+        single, blocked = single.limit(0), blocked.limit(0)
     # Pairs with a frequent key in common have been counted there.
     listed = lambda c: lists.select(F.col("_node").alias(c), F.col("_often").alias(f"_o{c}"))
     alone = single.join(listed("_a"), "_a", "left").join(listed("_b"), "_b", "left").filter(~F.coalesce(F.arrays_overlap("_o_a", "_o_b"), F.lit(False)))
@@ -450,4 +459,4 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     out = placed.unionByName(bare)
     own = F.when(F.col("_n") == 0, F.col("_id")).otherwise(F.coalesce("_component", "_first"))
     back = lambda c: F.when(c != low, c).cast(kind)
-    return out.select(back(F.col("_id")).alias(id_col), F.col("_n").alias("n_shingles"), back(own).alias("component_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(back(F.col("_id")).alias(id_col), F.col("_n").alias("n_shingles"), back(own).alias("component_id"), *([F.coalesce("_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []))

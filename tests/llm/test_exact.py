@@ -211,6 +211,9 @@ def test_groups(spark, monkeypatch, n, percent):
     df = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, component_id int").repartition(6)
     got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in similar_documents(df, n, percent).collect()}
     assert got == brute_groups(docs, n, percent)
+    fewer = similar_documents(df, n, percent, count_links=False)
+    assert fewer.columns == ["doc_id", "n_shingles", "component_id"]
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in fewer.collect()} == got
 
 
 @pytest.mark.parametrize("chunk", [20, 1024])
