@@ -37,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: the one of the least id (a null counts as the smallest), then of the least hash of id and text."""
     keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_key"))
-    placed = similar_documents(keyed.select("_key", "text"), n=5, percent=80, id_col="_key").select("_key", "component_id").distinct()
+    placed = similar_documents(keyed.select("_key", "text"), n=5, percent=80, id_col="_key", count_links=False).select("_key", "component_id").distinct()
     rows = keyed.groupBy("_key").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_many"))
     first = placed.join(rows, "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_key", "_many")).alias("_row"))
     first = written(first.select("_row._key", "_row._many"), "firsts")
