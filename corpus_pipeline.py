@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import new_path, table, written
 from larkspur.llm.decontam import without_contaminated
 from larkspur.llm.line_dedup import drop_common_lines
-from larkspur.llm.ngram_join import similar_documents
+from larkspur.llm.ngram_join import BROADCAST_IDS, similar_documents
 from larkspur.llm.pieces import Pieces, decode, encode, model_path
 from larkspur.llm.quality import score_documents, with_trust
 
@@ -38,11 +38,20 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One row of each group stays: the one of the least id (a null counts as the smallest), then of the least hash of id and text."""
     keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_key"))
     placed = similar_documents(keyed.select("_key", "text"), n=5, percent=80, id_col="_key", count_links=False).select("_key", "component_id").distinct()
+    placed = written(placed, "placed")
     rows = keyed.groupBy("_key").agg(F.min("doc_id").alias("_id"), F.count(F.lit(1)).alias("_many"))
     first = placed.join(rows, "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_key", "_many")).alias("_row"))
-    first = written(first.select("_row._key", "_row._many"), "firsts")
-    kept = keyed.join(first, "_key")
-    return kept.filter("_many = 1").unionByName(kept.filter("_many > 1").dropDuplicates(["_key"])).select(*COLUMNS)
+    first = written(first.select("component_id", F.col("_row._key").alias("_first"), F.col("_row._many").alias("_many")), "firsts")
+    # The keys that go are fewer than those that stay; few of them are sent to the texts, more take the texts to them.
+    gone = few(written(placed.join(first, "component_id").filter("_key <> _first").select("_key"), "gone"))
+    again = few(written(first.filter("_many > 1").select(F.col("_first").alias("_key")), "again"))
+    kept = keyed.join(gone, "_key", "left_anti")
+    return kept.join(again, "_key", "left_anti").unionByName(kept.join(again, "_key", "left_semi").dropDuplicates(["_key"])).select(*COLUMNS)
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """Keys marked to be sent to every task if there are few of them, counted first."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
