@@ -222,10 +222,10 @@ def draft_overlap(spark, sf):
     return D.overlap_rules(words, C.ngram_overlap(docs, t(spark, sf, "benchmark")).withColumnRenamed("doc_id", "draft"), LIMITS)
 
 
-@query("WITH f AS (SELECT c_custkey AS draft, CASE WHEN c_custkey % 7 <> 0 THEN abs(c_acctbal) / 10000 END AS cos, CASE WHEN c_custkey % 5 <> 0 THEN abs(c_acctbal) / 20000 END AS drift FROM customer) " + " UNION ALL ".join([row("WRT-24", "BLOCK", above("cos", 0.85, "fail"), "round(cos, 4)", 0.85), row("WRT-25", "WARN", above("drift", 0.45), "round(drift, 4)", 0.45)]))
+@query("WITH f AS (SELECT c_custkey AS draft, CASE WHEN c_custkey % 7 <> 0 THEN abs(c_acctbal) / 9973.0 END AS cos, CASE WHEN c_custkey % 5 <> 0 THEN abs(c_acctbal) / 19973.0 END AS drift FROM customer) " + " UNION ALL ".join([row("WRT-24", "BLOCK", above("cos", 0.85, "fail"), "round(cos, 4)", 0.85), row("WRT-25", "WARN", above("drift", 0.45), "round(drift, 4)", 0.45)]))
 def draft_nearness(spark, sf):
     k = F.col("c_custkey")
-    return D.nearness_rules(t(spark, sf, "customer").select(k.alias("draft"), F.when(k % 7 != 0, F.abs("c_acctbal") / 10000).alias("max_cosine"), F.when(k % 5 != 0, F.abs("c_acctbal") / 20000).alias("drift")), LIMITS)
+    return D.nearness_rules(t(spark, sf, "customer").select(k.alias("draft"), F.when(k % 7 != 0, F.abs("c_acctbal") / 9973.0).alias("max_cosine"), F.when(k % 5 != 0, F.abs("c_acctbal") / 19973.0).alias("drift")), LIMITS)
 
 
 @query("WITH s AS (SELECT c_custkey AS draft, c_custkey AS k FROM customer), f AS (SELECT draft, CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE 0 END AS lacking, CASE WHEN k % 6 = 0 THEN NULL ELSE k % 3 = 0 OR k % 5 = 1 END AS same, CASE WHEN k % 9 <> 0 THEN k % 12 END AS published FROM s) " + " UNION ALL ".join([
