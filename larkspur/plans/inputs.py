@@ -9,6 +9,7 @@ from larkspur.operators import graph as G
 from larkspur.operators import inputs as I
 from larkspur.operators import measure as M
 from larkspur.operators import observations as O
+from larkspur.operators import safety
 from larkspur.plans.gate import _drafts, _PROSE, _RAW, toks
 from larkspur.plans.queries import _TABLE, OBS, PAIRS, WINS, _clusters, now, obs, query, r, t
 from larkspur.operators import drafts as D
@@ -164,3 +165,14 @@ def mates_changed(spark, sf):
     before = c.filter(k % 9 != 0).select(k.alias("id"), F.col("c_nationkey").alias("cluster_id"))
     after = c.filter(k % 8 != 0).select(k.alias("id"), F.when(k % 10 == 0, 99).otherwise(F.col("c_nationkey")).alias("cluster_id"))
     return G.mates_changed(before, after).select("id", F.array_join("left", ",").alias("left"), F.array_join("joined", ",").alias("joined"))
+
+
+@query("WITH o AS (SELECT o_custkey % 50 AS project, 'K' || CAST(o_orderkey % 6 + 1 AS VARCHAR) AS k, CAST(o_orderdate AS DATE) AS day, o_orderstatus = 'F' AS raised, o_custkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS whole FROM orders), g AS (SELECT project, k, max(day) FILTER (WHERE raised) AS raised_at, max(day) FILTER (WHERE NOT raised AND whole) AS f FROM o GROUP BY 1, 2) SELECT project, k AS \"trigger\", raised_at, CASE WHEN f > raised_at THEN f END AS released_at, f IS NULL OR f <= raised_at AS held FROM g WHERE raised_at IS NOT NULL")
+def holds(spark, sf):
+    k = F.col("o_orderkey")
+    o = t(spark, sf, "orders").withColumns({"project": F.col("o_custkey") % 50, "trigger": F.concat(F.lit("K"), (k % 6 + 1).cast("string")), "at": F.to_date("o_orderdate")})
+    text = F.lit("stated")
+    who = F.when(F.col("o_custkey") % 3 != 0, "owner")
+    pages = F.when(k % 5 != 0, F.array(F.lit("/a"))).otherwise(F.array().cast("array<string>"))
+    lifted = o.filter("o_orderstatus <> 'F'").select("project", "trigger", "at", who.alias("released_by"), *[text.alias(c) for c in safety.STATED[1:]], pages.alias("urls"), F.col("at").alias("check_on"))
+    return safety.holds(o.filter("o_orderstatus = 'F'").select("project", "trigger", "at"), lifted)

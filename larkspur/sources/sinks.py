@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def dates_between(start: dt.date, end: dt.date) -> list[dt.date]:
+    return [start + dt.timedelta(days=i) for i in range((end - start).days + 1)]
+
+
+def drop_dates(spark: SparkSession, path: str, dates: Iterable[dt.date]) -> None:
+    """Delete the partitions of these dates."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    for day in dates:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/date={day}")
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def write_range(rows: DataFrame, path: str, start: str, end: str, dry_run: bool = False) -> dict[str, int]:
     """Replace all partitions by date of a range: those are deleted first, so that a date that has vanished from the source vanishes here too."""
-    import datetime as dt
-
     spark = rows.sparkSession
     held = rows.filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     counts = {str(r["date"]): r["count"] for r in held.groupBy("date").count().collect()}  # a row for each date of the range
     if dry_run:
         return counts
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    day, last = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
-    while day <= last:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/date={day}")
-        folder.getFileSystem(conf).delete(folder, True)
-        day += dt.timedelta(days=1)
+    drop_dates(spark, path, dates_between(dt.date.fromisoformat(start), dt.date.fromisoformat(end)))
     held.repartition("date").sortWithinPartitions("query", "page").write.mode("append").partitionBy("date").parquet(path)
     return counts
 

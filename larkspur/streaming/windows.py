@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from larkspur.sources.sinks import dates_between, drop_dates
+
 
 def stream_of(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -35,10 +39,25 @@ def hour_gaps(hours: DataFrame) -> DataFrame:
     return every.join(hours.select("hour").distinct(), "hour", "left_anti")
 
 
-def replacing_sink(stream: DataFrame, path: str, checkpoint: str, key: str = "date") -> StreamingQuery:
-    """Write every micro-batch over the partitions of its dates: a date pulled again replaces what was there."""
+def replacing_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write pulls over what is there by ``date``. Every row has its pull's range (``pull_start``, ``pull_end``) and ``version``.
+
+    Each date of a pull's range is replaced, one that has no rows any more too.
+    Where pulls of one micro-batch overlap, a date is of the highest version. A
+    micro-batch that is run again after a failure gives the same files' rows.
+    """
 
     def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+        spark = batch.sparkSession
+        newest: dict[dt.date, int] = {}
+        for pull in batch.select("pull_start", "pull_end", "version").distinct().collect():  # a row for each pull
+            for day in dates_between(pull["pull_start"], pull["pull_end"]):
+                newest[day] = max(pull["version"], newest.get(day, pull["version"]))
+        if not newest:
+            return
+        drop_dates(spark, path, newest)
+        wanted = F.broadcast(spark.createDataFrame(list(newest.items()), "date date, version long"))
+        held = batch.withColumn("version", F.col("version").cast("long")).join(wanted, ["date", "version"], "left_semi")
+        held.drop("pull_start", "pull_end").repartition("date").write.mode("append").partitionBy("date").parquet(path)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
