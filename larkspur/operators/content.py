@@ -171,11 +171,11 @@ def threshold_homes(keys: DataFrame) -> DataFrame:
 
 
 def prescribed_forbidden(entries: DataFrame) -> DataFrame:
-    """Phrases that one set prescribes and another forbids. ``set``, ``phrase``, ``forbidden``."""
+    """Phrases that one set prescribes and another forbids. ``set``, ``phrase``, ``forbidden``. A set's entries of one phrase count once before they are paired."""
     norm = F.regexp_replace(F.lower(F.btrim("phrase")), "\\s+", " ").alias("norm")
-    yes = entries.filter("not forbidden").select(norm, F.col("set").alias("prescribed_by"))
-    no = entries.filter("forbidden").select(norm, F.col("set").alias("forbidden_by"))
-    return yes.join(no, "norm").distinct()
+    yes = entries.filter("not forbidden").select(norm, F.col("set").alias("prescribed_by")).distinct()
+    no = entries.filter("forbidden").select(norm, F.col("set").alias("forbidden_by")).distinct()
+    return yes.join(no, "norm")
 
 
 def suppressed(violations: DataFrame, suppressions: DataFrame) -> tuple[DataFrame, DataFrame]:
