@@ -164,7 +164,7 @@ def mates_changed(spark, sf):
     k = F.col("c_custkey")
     before = c.filter(k % 9 != 0).select(k.alias("id"), F.col("c_nationkey").alias("cluster_id"))
     after = c.filter(k % 8 != 0).select(k.alias("id"), F.when(k % 10 == 0, 99).otherwise(F.col("c_nationkey")).alias("cluster_id"))
-    return G.mates_changed(before, after).select("id", F.array_join("left", ",").alias("left"), F.array_join("joined", ",").alias("joined"))
+    return G.mates_changed(before, after, lambda ids: F.array_join(ids, ","))
 
 
 @query("WITH o AS (SELECT o_custkey % 50 AS project, 'K' || CAST(o_orderkey % 6 + 1 AS VARCHAR) AS k, CAST(o_orderdate AS DATE) AS day, o_orderstatus = 'F' AS raised, o_custkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS whole FROM orders), g AS (SELECT project, k, max(day) FILTER (WHERE raised) AS raised_at, max(day) FILTER (WHERE NOT raised AND whole) AS f FROM o GROUP BY 1, 2) SELECT project, k AS \"trigger\", raised_at, CASE WHEN f > raised_at THEN f END AS released_at, f IS NULL OR f <= raised_at AS held FROM g WHERE raised_at IS NOT NULL")

@@ -11,6 +11,22 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_mates_are_listed_once_for_clusters_not_for_members(spark):
+    r = random.Random(8)
+    was, is_ = ({i: r.randint(1, 4) for i in range(200) if i % k} for k in (9, 8))
+    is_ |= {i: was[i] for i in is_ if i % 3 and i in was}
+    df = lambda x: spark.createDataFrame(list(x.items()), "id long, cluster_id int")
+    both = was.keys() & is_.keys()
+    want = {}
+    for i in both:
+        old, new = {j for j in both if was[j] == was[i]}, {j for j in both if is_[j] == is_[i]}
+        if old != new:
+            want[i] = (sorted(old - new), sorted(new - old))
+    out = G.mates_changed(df(was), df(is_))
+    assert {x["id"]: (x["left"], x["joined"]) for x in out.collect()} == want
+    assert "array_except" not in plan(out)  # the rows only get what was listed
+
+
 def test_prescribed_forbidden_pairs_each_set_once(spark):
     rows = [(s, p, f) for s, p, f in [("a", " Big  Cat", False), ("b", "big cat", True), ("a", "dog", True), ("c", "BIG CAT ", True), ("d", None, True)] for _ in range(2000)]
     out = C.prescribed_forbidden(spark.createDataFrame(rows, "set string, phrase string, forbidden boolean"))
