@@ -385,19 +385,21 @@ def _queries(spark, sf):
     return p.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("text_norm"), F.col("p_size").cast("double").alias("priority"), F.col("p_retailprice").alias("volume"))
 
 
-def _clusters(spark, sf, threshold):
+def _clusters(spark, sf, *thresholds):
+    """Clusters by each threshold, from one set of edges."""
     q = _queries(spark, sf)
-    return G.centroid_clusters(q, G.serp_edges(_serps(spark, sf)), threshold)
+    edges = G.cut(G.serp_edges(_serps(spark, sf), least=min(thresholds)))
+    return [G.centroid_clusters(q, edges, x) for x in thresholds]
 
 
 @query()
 def centroid_clusters(spark, sf):
-    return _clusters(spark, sf, 3)
+    return _clusters(spark, sf, 3)[0]
 
 
 @query()
 def cluster_drift(spark, sf):
-    return G.drift_summary(_clusters(spark, sf, 3).select("id", "cluster_id"), _clusters(spark, sf, 4).select("id", "cluster_id"))
+    return G.drift_summary(*(G.cut(x.select("id", "cluster_id")) for x in _clusters(spark, sf, 3, 4)))
 
 
 @query("WITH m AS (SELECT c_nationkey AS cluster_id, CASE c_custkey % 3 WHEN 0 THEN 'informational' WHEN 1 THEN 'transactional' ELSE 'commercial' END AS co, CASE WHEN c_custkey % 2 = 0 THEN 'knowledge' ELSE 'output' END AS cg FROM customer), b AS (SELECT cluster_id, count(*) AS size, bool_or(co = 'informational') AND bool_or(co = 'transactional') AS x, bool_or(cg = 'knowledge') AND bool_or(cg = 'output') AS y FROM m GROUP BY cluster_id) SELECT cluster_id, size, 'SEM-10' AS rule_id, 'commercial' AS why FROM b WHERE x UNION ALL SELECT cluster_id, size, 'SEM-10', 'cognitive' FROM b WHERE y UNION ALL SELECT cluster_id, size, 'SEM-23', 'size' FROM b WHERE size > 12")

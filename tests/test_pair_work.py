@@ -11,6 +11,23 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_edges_of_several_results_are_found_by_pairs_of_results(spark):
+    r = random.Random(7)
+    rows = [(i, ["every"] + [f"u{r.randint(1, 25)}" for _ in range(r.randint(0, 12))] + [None] * (i % 3 == 0)) for i in range(150)] + [(500, None), (501, []), (502, ["every"])]
+    serps = spark.createDataFrame(rows, "id long, urls array<string>")
+    every = {tuple(x) for x in G.serp_edges(serps).collect()}
+    for least in (2, 3, 5):
+        out = G.serp_edges(serps, least=least)
+        assert {tuple(x) for x in out.collect()} == {x for x in every if x[2] >= least} and out.count() > 0
+
+
+def test_drift_query_makes_edges_once(spark, monkeypatch):
+    made, true = [], G.serp_edges
+    monkeypatch.setattr(G, "serp_edges", lambda *a, **b: made.append(b) or true(*a, **b))
+    assert Q.QUERIES["cluster_drift"](spark, "/root/testdata/sf0.001").count() == 1
+    assert made == [{"least": 3}]
+
+
 def test_mates_are_listed_once_for_clusters_not_for_members(spark):
     r = random.Random(8)
     was, is_ = ({i: r.randint(1, 4) for i in range(200) if i % k} for k in (9, 8))
