@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.scores import cosine
 from larkspur.operators import content as C
 from larkspur.operators import graph as G
 from larkspur.operators import measure as M
@@ -688,9 +687,8 @@ def unsuppressed(spark, sf):
 @query("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 4) AS similarity FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) > 0.25")
 def near_queries(spark, sf):
     e = t(spark, sf, "embeddings")
-    a = e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("va"))
-    b = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("vb"))
-    out = a.join(b, "label").filter("a < b").withColumn("similarity", cosine(F.col("va"), F.col("vb"))).filter("similarity > 0.25")
+    e = e.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"), F.col("embedding").alias("vector"))
+    out = G.near_pairs(e, e, 0.25, once=True).filter("similarity > 0.25").select(F.col("donor").alias("a"), F.col("target").alias("b"), "similarity")
     return out.select("a", "b", r("similarity", 4))
 
 
