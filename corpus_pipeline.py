@@ -15,7 +15,7 @@ from larkspur.llm.common import new_path, table, written
 from larkspur.llm.decontam import without_contaminated
 from larkspur.llm.line_dedup import drop_common_lines
 from larkspur.llm.ngram_join import BROADCAST_IDS, similar_documents
-from larkspur.llm.pieces import Pieces, decode, encode, model_path
+from larkspur.llm.pieces import Pieces, encode_decode, model_path
 from larkspur.llm.quality import score_documents, with_trust
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -62,9 +62,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as sampled pieces, with the hash of what they decode to; an empty text has none. Rows of one id and text get one segmentation."""
     pieces = spark.sparkContext.broadcast(Pieces(model_path()))
-    coded = encode(docs.select(*COLUMNS), pieces, seed=1)
-    back = decode(coded.withColumn("ids", F.col("piece_ids")), pieces)
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), F.col("ids").alias("piece_ids"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    # A text goes to the worker once and doesn't come back.
+    back = encode_decode(docs.select(*COLUMNS), pieces, seed=1, keep=["doc_id", "lang", "source"])
+    return back.select("doc_id", "lang", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -69,7 +69,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in order, in batches of about ``size`` bytes of text; a longer text stands alone."""
+    """The same rows in order, in batches of about ``size`` bytes of text; a longer text stands alone. After the last one a worker keeps nothing."""
     held: list[pa.RecordBatch] = []
     weight = 0
     for batch in batches:
@@ -89,6 +89,9 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
                 held, weight = [], 0
     if held:
         yield _join(held)
+    held, batch = [], None
+    _cache.clear()
+    release()
 
 
 def release() -> None:

@@ -318,6 +318,10 @@ def decode_block(pieces: Pieces, ids: np.ndarray, offsets: np.ndarray) -> tuple[
     return data[keep], bounds - np.concatenate(([0], np.cumsum(full)))
 
 
+def _texts(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary()).cast(pa.string())
+
+
 def _encode(shared, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "_text", 1 << 19):
@@ -347,8 +351,7 @@ def _decode(shared):
                 stop = min(len(counts), max(start + 1, int(np.searchsorted(ends, before + DECODED, side="right"))))
                 batch = whole.slice(start, stop - start)
                 ids = np.asarray(pc.list_flatten(batch.column(batch.num_columns - 1)))
-                data, bounds = decode_block(shared.value, ids, np.concatenate(([0], ends[start:stop] - before)))
-                texts = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary()).cast(pa.string())
+                texts = _texts(*decode_block(shared.value, ids, np.concatenate(([0], ends[start:stop] - before))))
                 rest = [batch.column(i) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*rest, texts], [*batch.schema.names[:-1], "_decoded"])
                 start = stop
@@ -356,6 +359,23 @@ def _decode(shared):
     return run
 
 
+#: Bytes of text that are encoded and decoded at once.
+CODED = 1 << 18
+
+
+def _encode_decode(shared, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "_text", CODED):
+            data, offsets = buffers(batch.column("_text"))
+            ids, bounds = encode_block(shared.value, data, offsets, np.asarray(batch.column("_key")).view(np.uint64), seed)
+            rest = [batch.column(i) for i in range(batch.num_columns - 2)]
+            texts = _texts(*decode_block(shared.value, ids, bounds))
+            yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), texts], [*batch.schema.names[:-2], "_ids", "_decoded"])
+            release()
+
+    return run
+
+
 def encode(docs: DataFrame, pieces, seed: int = 0, key: Column | None = None, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
     """All columns of ``docs`` and ``ids_col``, a sampled segmentation of the whole text.
 
@@ -373,6 +393,15 @@ def encode(docs: DataFrame, pieces, seed: int = 0, key: Column | None = None, id
     return renamed.mapInArrow(_encode(pieces, seed), f"{fields}, _ids array<int>").toDF(*cols, ids_col)
 
 
+def encode_decode(docs: DataFrame, pieces, seed: int = 0, key: Column | None = None, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "piece_ids", decoded_col: str = "decoded") -> DataFrame:
+    """The columns ``keep`` (default: all), ``ids_col`` as of :func:`encode` and what :func:`decode` makes of it: a block is decoded where it is encoded, by one worker instead of two."""
+    key = F.xxhash64(id_col) if key is None else key
+    cols = [c for c in (docs.columns if keep is None else keep) if c not in (ids_col, decoded_col)]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)], F.coalesce(F.col(text_col), F.lit("")).alias("_text"), key.cast("long").alias("_key"))
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in renamed.schema[:-2])
+    return renamed.mapInArrow(_encode_decode(pieces, seed), f"{fields}_ids array<int>, _decoded string").toDF(*cols, ids_col, decoded_col)
+
+
 def decode(rows: DataFrame, pieces, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:
     """All columns of ``rows`` but ``ids_col``, and the text its pieces spell. Null and empty lists spell empty text."""
     cols = [c for c in rows.columns if c not in (ids_col, text_col)]
