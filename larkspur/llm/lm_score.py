@@ -8,9 +8,9 @@ often and how many of them it starts. A text is scored with
 
     p(w | v) = (c(v w) + t(v) p(w)) / (c(v) + t(v)),    p(w) = (c(w) + 1) / (N + V + 1)
 
-(Witten and Bell), every count coming from the filter. It has the words and pairs
-that are seen ``min_count`` times or more, whatever the size of the input; a word
-that starts no pair gives p(w). Its size follows the number of members. The
+(Witten and Bell), every count coming from the filter. It has all words and pairs,
+or those that are seen ``min_count`` times or more; a word that starts no pair
+gives p(w). Its size follows the number of members. The
 part with the words is sent to every worker; that with the pairs is cut into
 shards of ``shard_mb`` by their first word and sent shard after shard, the texts
 being read once for each.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import discard, written
+from larkspur.llm.common import written
 from larkspur.llm.kernels import blocks, buffers, mix, release, words
 
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -254,10 +254,10 @@ class CountFilter:
         return np.where(step > 0, np.power(self.base, np.maximum(step - 1, 0)), 0.0)
 
 
-def _made(members: DataFrame, base: float) -> tuple[bytes, int, int]:
-    """Bits, segments and largest step of the filter of (_member, _count), built by the workers."""
+def _made(members: DataFrame, counts: DataFrame, base: float) -> tuple[bytes, int, int]:
+    """Bits, segments and largest step of the filter of (_member, _count), built by the workers. ``counts``: their _count, read first for the size."""
     step = F.lit(1) + F.round(F.log(F.col("_count").cast("double")) / math.log(base))
-    n = members.agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("n"), F.coalesce(F.max(step), F.lit(1.0)).alias("top")).first()
+    n = counts.agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("n"), F.coalesce(F.max(step), F.lit(1.0)).alias("top")).first()
     segments = max(1, math.ceil(n["n"] * BITS / (8 * SEGMENT)))
     number = F.pmod(F.shiftrightunsigned("_member", 32), F.lit(segments)).cast("int")
     wide = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -356,7 +356,7 @@ def _most_frequent(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarra
     return word[order], found.column("_count").to_numpy().view(np.uint64)[order]
 
 
-def score_texts(docs: DataFrame, held_out: Column, min_count: int = 5, base: float = 1.3, shard_mb: float = 256, most_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, min_count: int = 1, base: float = 1.3, shard_mb: float = 256, most_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all texts under a model of the texts that aren't held out.
 
     Tokens are the words (A-Z lower-cased) and the end of the text. Returns for
@@ -382,13 +382,13 @@ def score_texts(docs: DataFrame, held_out: Column, min_count: int = 5, base: flo
     seen = counted.agg(F.coalesce(F.sum("_count"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, vocabulary = seen["n"], seen["v"]
     frequent = counted.filter(F.col("_count") >= min_count).select(F.col("_word").alias("_name"), "_count")
-    words_made = _made(written(frequent.mapInArrow(_named({"word": "_count"}), "_member long, _count long"), "lm-members"), base)
+    words_made = _made(frequent.mapInArrow(_named({"word": "_count"}), "_member long, _count long"), frequent.select("_count"), base)
     word_bits, word_shape = spark.sparkContext.broadcast(words_made[0]), words_made[1:]
 
     size = rows.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
     parts = max(4 * wide, math.ceil(size / SORTED))
     planes = rows.select("_train", "_text").mapInArrow(_pair_planes(word_bits, word_shape[0], parts), "_part long, _planes binary")
-    pairs = written(planes.groupBy("_part").applyInArrow(_frequent_pairs(min_count), "_name long, _history long, _count long"), "lm-pairs")
+    pairs = written(planes.groupBy("_part").applyInArrow(_frequent_pairs(min_count), "_name long, _history long, _count long"), "lm-pairs", "zstd")
     histories = pairs.groupBy("_history").agg(F.sum("_count").alias("_uses"), F.count(F.lit(1)).alias("_kinds"))
     pair_members = pairs.select("_history", "_name", "_count")
     history_members = written(histories, "lm-histories")
@@ -401,9 +401,10 @@ def score_texts(docs: DataFrame, held_out: Column, min_count: int = 5, base: flo
         own = F.pmod(F.col("_history"), F.lit(shards)) == shard
         members = pair_members.filter(own).select("_name", "_count").mapInArrow(_named({"pair": "_count"}), "_member long, _count long")
         members = members.unionByName(history_members.filter(own).select(F.col("_history").alias("_name"), "_uses", "_kinds").mapInArrow(_named({"uses": "_uses", "kinds": "_kinds"}), "_member long, _count long"))
-        members = written(members, "lm-members")
-        bits, *shape = _made(members, base)
-        discard(members)
+        counts = pair_members.filter(own).select("_count")
+        for c in ("_uses", "_kinds"):
+            counts = counts.unionByName(history_members.filter(own).select(F.col(c).alias("_count")))
+        bits, *shape = _made(members, counts, base)
         scored = rows.mapInArrow(_scores(word_bits, word_shape, spark.sparkContext.broadcast(bits), tuple(shape), table, base, total, vocabulary, shard, shards), f"_id {named}, _hash long, _train boolean, _many long, _known long, _logs double, _score double")
         if shards > 1:  # a filter is freed before the next one is sent
             scored = written(scored, "lm-scores")
