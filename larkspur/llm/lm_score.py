@@ -12,19 +12,24 @@ often and how many of them it starts. A text is scored with
 or those that are seen ``min_count`` times or more; a word that starts no pair
 gives p(w). Its size follows the number of members. The
 part with the words is sent to every worker; that with the pairs is cut into
-shards of ``shard_mb`` by their first word and sent shard after shard, the texts
-being read once for each.
-
-Counting is exact. Words are summed in each task before they are shuffled. Pairs
-are sorted by hash in each task and travel as packed byte planes, some nine bytes
-a pair; a range of hashes at a time is merged. Exact counts for ``base_score``
-come from a table of the most frequent words, bounded by ``most_words``; all rarer
-words are joined with their counts.
+shards of ``shard_mb`` and sent shard after shard, the texts being read once for
+each. The driver passes a shard on in pieces of 16 MB and holds one of them.
+
+Words are summed in each task before they are shuffled. Pairs are named by 64
+bits, 36 of which name the first word, so that those of one word lie together;
+they are sorted in each task and travel as packed byte planes. A range of first
+words is one part: where it is merged, its pairs are counted and its part of the
+filter is filled, with what its words start, so no pair travels twice. The pairs
+of words seen ``spread_from`` times or more are dealt to all parts, and what these
+words start is summed from there. Exact counts for ``base_score`` come from a
+table of the most frequent words, bounded by ``most_words``; all rarer words are
+joined with their counts.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,12 +48,16 @@ _KINDS = {"word": np.uint64(0x2545F4914F6CDD1D), "pair": np.uint64(0xC2B2AE3D27D
 #: Bytes of a segment of the filter, bits that a member has there, and those it sets: about one false hit in 100.
 SEGMENT, BITS, PROBES = 1 << 20, 12, 4
 #: Bytes of text that are handled at once, and of which pairs are sorted at once.
-PART, SORTED = (2 << 20) - 4096, 12 << 20
+PART, SORTED = (1 << 20) - 4096, 12 << 20
 #: Distinct words that a task holds before it passes them on.
 HELD = 1 << 21
-#: Bits of the name of a pair, and of the name of its first word.
-PAIR_BITS, HISTORY_BITS = 48, 40
-_PLANES = PAIR_BITS // 8 + HISTORY_BITS // 8 + 4
+#: Bits of the name of a pair that name its first word, and those that are left.
+HISTORY_BITS = 36
+_LOW = np.uint64(64 - HISTORY_BITS)
+#: Bytes of a pair that travels: the step to its name, and its count.
+_PLANES = 8 + 4
+#: Bytes of the filter of the pairs that the driver passes on at once, and the 64-bit words that a part has at least.
+PIECE, LEAST = 16 << 20, 1 << 13
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,11 +85,17 @@ def _before(token: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def _pair_name(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix(before * _PAIR + token) >> np.uint64(64 - PAIR_BITS)
+    return (before >> _LOW << _LOW) | (mix(before * _PAIR + token) >> np.uint64(HISTORY_BITS))
 
 
-def _history_name(word: np.ndarray) -> np.ndarray:
-    return word >> np.uint64(64 - HISTORY_BITS)
+def _history_name(name: np.ndarray) -> np.ndarray:
+    """Name of the first word, from the word or from the pair."""
+    return name >> _LOW
+
+
+def _part(name: np.ndarray, spread: np.ndarray | bool, parts: int) -> np.ndarray:
+    """Part of each pair: one for all of a first word, or any, by the pair, for those that are ``spread``."""
+    return (((np.where(spread, mix(name), name) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
 def _member(name: np.ndarray, kind: str) -> np.ndarray:
@@ -134,86 +149,121 @@ def _unpacked(planes: np.ndarray) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _pair_planes(shared, segments: int, parts: int):
-    """Pairs of words that the filter has, in training texts: names in order, first words and counts, packed for each range of names."""
+def _pair_planes(made: Made, parts: int, step: int):
+    """Pairs of words that the filter has, in training texts: names in order and counts, packed for each part. Those of words that reach ``step`` are spread."""
 
-    def packed(name: np.ndarray, history: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(name)
-        name = name[order]
-        heads = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-        count = np.diff(np.append(heads, len(name)))
-        name, history = name[heads], history[order[heads]]
-        part = ((name >> np.uint64(PAIR_BITS - 32)) * np.uint64(parts)) >> np.uint64(32)
+    def packed(name: np.ndarray, spread: bool) -> pa.RecordBatch:
+        name, count = np.unique(name, return_counts=True)
+        part = _part(name, spread, parts)
+        if spread:
+            order = np.argsort(part, kind="stable")
+            name, count, part = name[order], count[order], part[order]
         starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         found = []
         for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
-            found.append(_packed(np.diff(name[lo:hi], prepend=np.uint64(0)), PAIR_BITS // 8) + _packed(history[lo:hi], HISTORY_BITS // 8) + _packed(count[lo:hi], 4))
-        return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int64)), pa.array(found, pa.binary())], ["_part", "_planes"])
+            found.append(_packed(np.diff(name[lo:hi], prepend=np.uint64(0)), 8) + _packed(count[lo:hi], 4))
+        return pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array([spread] * len(found)), pa.array(found, pa.binary())], ["_part", "_spread", "_planes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = CountFilter(shared.value, segments, 1.0, 1)
-        held, weight = [], 0
+        known = made.on_worker(1.0, 1)
+        held, weight = {False: [], True: []}, 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            name, history = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            if len(name):
-                yield packed(name, history)
+            for spread, names in held.items():
+                name = np.concatenate(names) if names else np.zeros(0, np.uint64)
+                names.clear()
+                if len(name):
+                    yield packed(name, spread)
             release()
 
         for batch in blocks(batches, "_text", PART):  # words are found in small blocks, and their pairs held
             token, text, _ = _tokens(batch.column("_text"))
             own, at = np.unique(token, return_inverse=True)
-            frequent = (known.count(_member(own, "word")) > 0)[at]
+            member = _member(own, "word")
+            frequent, often = (known.count(member) > 0)[at], known.reaches(member, step)[at]
             before = _before(token, text)
+            first = before == _START
             use = _flags(batch.column("_train"))[text] & frequent
-            use[1:] &= frequent[:-1] | (before[1:] == _START)
-            before = before[use]
-            held.append((_pair_name(before, token[use]), _history_name(before)))
-            weight += len(use)
+            use[1:] &= frequent[:-1] | first[1:]
+            spread = first
+            spread[1:] |= often[:-1]
+            name, spread = _pair_name(before[use], token[use]), spread[use]
+            held[False].append(name[~spread]), held[True].append(name[spread])
+            weight += len(name)
             if 6 * weight > SORTED:  # a token has some six bytes
                 yield from out()
                 weight = 0
-        if held:
-            yield from out()
+        yield from out()
 
     return run
 
 
-def _frequent_pairs(min_count: int):
-    """The pairs of a range of names that are seen often enough."""
+def _pair_filter(min_count: int, base: float):
+    """The filter of a part: its pairs that are seen often enough, with the uses and kinds of their first words; those of spread words as numbers, to be summed."""
 
     def run(table: pa.Table) -> pa.Table:
-        names, histories, counts = [], [], []
-        for value in table.column("_planes"):
+        held = {False: ([], []), True: ([], [])}
+        for value, spread in zip(table.column("_planes"), table.column("_spread").to_pylist(), strict=True):
             planes = np.frombuffer(value.as_buffer(), np.uint8).reshape(_PLANES, -1)
-            a, b = PAIR_BITS // 8, (PAIR_BITS + HISTORY_BITS) // 8
-            names.append(np.cumsum(_unpacked(planes[:a]), dtype=np.uint64)), histories.append(_unpacked(planes[a:b])), counts.append(_unpacked(planes[b:]).astype(np.int64))
-        name, history, count = (np.concatenate(x) for x in (names, histories, counts))
-        order = np.argsort(name)
-        name, history, count = name[order], history[order], count[order]
-        heads = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-        count = np.add.reduceat(count, heads)
-        keep = count >= min_count
-        out = pa.table({"_name": pa.array(name[heads][keep].view(np.int64)), "_history": pa.array(history[heads][keep].view(np.int64)), "_count": pa.array(count[keep])})
+            names, counts = held[spread]
+            names.append(np.cumsum(_unpacked(planes[:8]), dtype=np.uint64)), counts.append(_unpacked(planes[8:]).astype(np.int64))
+        members, seen, apart = [], [], b""
+        for spread, (names, counts) in held.items():
+            if not names:
+                continue
+            name, count = _summed(names, counts)
+            names.clear(), counts.clear()
+            name, count = name[count >= min_count], count[count >= min_count]
+            members.append(_member(name, "pair")), seen.append(count)
+            history = _history_name(name)
+            heads = np.flatnonzero(np.concatenate(([True], history[1:] != history[:-1])))[: len(name)]
+            uses, kinds = np.add.reduceat(count, heads) if len(name) else count, np.diff(np.append(heads, len(name)))
+            if spread:
+                apart = np.stack([history[heads].view(np.int64), uses, kinds]).tobytes()
+            else:
+                members += [_member(history[heads], "uses"), _member(history[heads], "kinds")]
+                seen += [uses, kinds]
+        member, steps = np.concatenate(members), _steps(np.concatenate(seen), base)
+        total = int(steps.sum())
+        bits = np.zeros(max(LEAST, math.ceil(total * BITS / 64)), np.uint64)
+        left, q = np.arange(len(member)), 1
+        while len(left):
+            word, own = _places(member[left], q, np.uint64(len(bits)))
+            np.bitwise_or.at(bits, word, own)
+            q += 1
+            left = left[steps[left] >= q]
+        part = table.column("_part")[0].as_py()
+        out = pa.table({"_part": pa.array([part], pa.int64()), "_members": pa.array([total], pa.int64()), "_top": pa.array([q - 1], pa.int64()), "_bits": pa.array([bits.tobytes()], pa.binary()), "_apart": pa.array([apart], pa.binary())})
         release()
         return out
 
     return run
 
 
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First words whose pairs are spread, with the uses and kinds that a part has."""
+    for batch in batches:
+        for value in batch.column("_apart"):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.frombuffer(value.as_buffer(), np.int64).reshape(3, -1)], ["_name", "_uses", "_kinds"])
+
+
 def _steps(count: np.ndarray, base: float) -> np.ndarray:
     """Step 1 for a count of 1, one more for each factor of ``base``, rounded."""
     return 1 + np.rint(np.log(np.maximum(count, 1)) / math.log(base)).astype(np.int64)
 
 
-def _places(member: np.ndarray, step: int, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segment of each n-gram (the same for all its steps), the 64-bit word of the step in it, and its bits in that word."""
+def _places(member: np.ndarray, step: int, size: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit word of a step of each n-gram, in a part of ``size`` words, and its bits in that word."""
     one = mix(member + np.uint64(step * int(_STEP) % (1 << 64)))
     bits = np.zeros(len(one), np.uint64)
     for i in range(PROBES):
         bits |= np.uint64(1) << ((one >> np.uint64(40 + 6 * i)) & np.uint64(63))
-    return ((member >> np.uint64(32)) % np.uint64(segments)).astype(np.int64), (one % np.uint64(SEGMENT // 8)).astype(np.int64), bits
+    return (((one & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)).astype(np.int64), bits
+
+
+def _segment(member: np.ndarray, segments: int) -> np.ndarray:
+    """Segment of each n-gram, the same for all its steps."""
+    return ((member >> np.uint64(32)) % np.uint64(segments)).astype(np.int64)
 
 
 def _build(segments: int, base: float):
@@ -224,48 +274,128 @@ def _build(segments: int, base: float):
             steps = _steps(np.asarray(batch.column("_count")), base)
             left, q = np.arange(len(member)), 1
             while len(left):
-                segment, word, bits = _places(member[left], q, segments)
+                segment = _segment(member[left], segments)
+                word, bits = _places(member[left], q, np.uint64(SEGMENT // 8))
                 for s in np.unique(segment).tolist():
                     inside = segment == s
                     np.bitwise_or.at(held.setdefault(s, np.zeros(SEGMENT // 8, np.uint64)), word[inside], bits[inside])
                 q += 1
                 left = left[steps[left] >= q]
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["_segment", "_bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["_part", "_bits"])
 
     return run
 
 
-class CountFilter:
-    """The filter on a worker: quantised counts of n-grams. ``top`` is the largest step that was stored: no count is read beyond it, however full the filter is."""
+class PartedFilter:
+    """Quantised counts of n-grams on a worker: parts of the filter, each of its own size, in the pieces in which the driver passed them on.
+
+    ``places``: of each part its piece, its start there and its size, in 64-bit words. ``top`` is the largest step that was stored: no count is read beyond it, however full the filter is.
+    """
 
-    def __init__(self, bits: bytes, segments: int, base: float, top: int):
-        self.bits, self.segments, self.base, self.top = np.frombuffer(bits, np.uint64), segments, base, top
+    def __init__(self, pieces: list[bytes | np.ndarray], places: np.ndarray, base: float, top: int):
+        self.pieces, self.base, self.top = [np.frombuffer(x, np.uint64) for x in pieces], base, top
+        self.piece, self.start, self.size = places
+
+    def count(self, member: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """About the count of each n-gram of the part, 0 if the filter doesn't have it."""
+        return _read(self._step(member, part, range(1, self.top + 1)), self.base)
+
+    def _step(self, member: np.ndarray, part: np.ndarray, asked: range) -> np.ndarray:
+        """The last of the steps asked for, one after the other, until one is missing; 0 if the first is."""
+        step, piece = np.zeros(len(member), np.int64), self.piece[part]
+        for i, held in enumerate(self.pieces):
+            left = np.flatnonzero(piece == i)
+            start, size = self.start[part[left]], self.size[part[left]].astype(np.uint64)
+            for q in asked:
+                if not len(left):
+                    break
+                word, bits = _places(member[left], q, size)
+                found = (held[start + word] & bits) == bits
+                left, start, size = left[found], start[found], size[found]
+                step[left] = q
+        return step
+
+
+class CountFilter(PartedFilter):
+    """The same in equal segments, to which the n-grams themselves are dealt; in one piece if ``places`` isn't given."""
+
+    def __init__(self, bits: bytes | list[np.ndarray], segments: int, base: float, top: int, places: np.ndarray | None = None):
+        if places is None:
+            bits, places = [bits], np.stack([np.zeros(segments, np.int64), np.arange(segments) * (SEGMENT // 8), np.full(segments, SEGMENT // 8)])
+        super().__init__(bits, places, base, top)
+        self.segments = segments
 
     def count(self, member: np.ndarray) -> np.ndarray:
-        """About the count of each n-gram, 0 if the filter doesn't have it."""
-        step, left = np.zeros(len(member), np.int64), np.arange(len(member))
-        for q in range(1, self.top + 1):
-            segment, word, bits = _places(member[left], q, self.segments)
-            left = left[(self.bits[segment * (SEGMENT // 8) + word] & bits) == bits]
-            if not len(left):
-                break
-            step[left] = q
-        return np.where(step > 0, np.power(self.base, np.maximum(step - 1, 0)), 0.0)
-
-
-def _made(members: DataFrame, counts: DataFrame, base: float) -> tuple[bytes, int, int]:
-    """Bits, segments and largest step of the filter of (_member, _count), built by the workers. ``counts``: their _count, read first for the size."""
-    step = F.lit(1) + F.round(F.log(F.col("_count").cast("double")) / math.log(base))
-    n = counts.agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("n"), F.coalesce(F.max(step), F.lit(1.0)).alias("top")).first()
-    segments = max(1, math.ceil(n["n"] * BITS / (8 * SEGMENT)))
-    number = F.pmod(F.shiftrightunsigned("_member", 32), F.lit(segments)).cast("int")
-    wide = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    built = members.repartition(min(segments, 4 * wide), number).mapInArrow(_build(segments, base), "_segment int, _bits binary")
-    bits = np.zeros(segments * (SEGMENT // 8), np.uint64)
-    for row in built.toLocalIterator():  # as many segments as the members need
-        bits[row["_segment"] * (SEGMENT // 8) : (row["_segment"] + 1) * (SEGMENT // 8)] |= np.frombuffer(row["_bits"], np.uint64)
-    return bits.tobytes(), segments, int(n["top"]) + 1
+        return super().count(member, _segment(member, self.segments))
+
+    def reaches(self, member: np.ndarray, step: int) -> np.ndarray:
+        """Whether the filter has each n-gram at ``step`` and the step before it; the same on every worker."""
+        return self._step(member, _segment(member, self.segments), range(max(1, step - 1), step + 1)) == step
+
+
+def _read(step: np.ndarray, base: float) -> np.ndarray:
+    """Count that a step stands for."""
+    return np.where(step > 0, np.power(base, np.maximum(step - 1, 0)), 0.0)
+
+
+#: Begins the bytes of a piece, by which a worker finds them in the file of the broadcast; with it they are aligned there.
+_MARK = b"larkspur-pieces:"
+_MARKED = _MARK.rjust(len(_MARK) + -(pickle.dumps(b"\1" * (1 << 17), pickle.HIGHEST_PROTOCOL).index(b"\1" * 64)) % 8, b"\0")
+
+
+def _sent(spark, parts: list[bytes]):
+    return spark.sparkContext.broadcast(b"".join([_MARKED, *parts]))
+
+
+def _bits(sent) -> np.ndarray:
+    """Bits of a piece on a worker: mapped from the file of the broadcast, which the workers of an executor share, or loaded where there is none."""
+    if path := getattr(sent, "_path", None):
+        with open(path, "rb") as file:
+            at = file.read(256).find(_MARK)
+        if at >= 0:
+            data = np.memmap(path, np.uint8, "r")[at + len(_MARK) :]
+            return np.asarray(data[: len(data) // 8 * 8]).view(np.uint64)  # the pickle's end follows
+    return np.frombuffer(sent.value[len(_MARKED) :], np.uint64)
+
+
+def _passed_on(parts: DataFrame, places: np.ndarray) -> list:
+    """Broadcasts of the bits of the parts (_part, _bits), made piece by piece; ``places`` gets the piece of each part and its start there."""
+    sent, held, weight = [], [], 0
+
+    def send() -> None:
+        sent.append(_sent(parts.sparkSession, held))
+        held.clear()
+
+    for row in parts.select("_part", "_bits").toLocalIterator():
+        if held and weight + len(row["_bits"]) > PIECE:
+            send()
+            weight = 0
+        places[:2, row["_part"]] = len(sent), weight // 8
+        held.append(bytes(row["_bits"]))
+        weight += len(held[-1])
+    if held:
+        send()
+    release()
+    return sent
+
+
+class Made:
+    """A filter of (_member, _count) in equal segments, built by the workers and passed on to them. ``counts``: their _count, read first for the size."""
+
+    def __init__(self, members: DataFrame, counts: DataFrame, base: float):
+        step = F.lit(1) + F.round(F.log(F.col("_count").cast("double")) / math.log(base))
+        n = counts.agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("n"), F.coalesce(F.max(step), F.lit(1.0)).alias("top")).first()
+        self.segments, self.top = max(1, math.ceil(n["n"] * BITS / (8 * SEGMENT))), int(n["top"]) + 1
+        number = F.pmod(F.shiftrightunsigned("_member", 32), F.lit(self.segments)).cast("int")
+        spark = members.sparkSession
+        wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.places = np.full((3, self.segments), SEGMENT // 8, np.int64)
+        self.places[0] = -1  # a segment without members isn't built
+        self.pieces = _passed_on(members.repartition(min(self.segments, 4 * wide), number).mapInArrow(_build(self.segments, base), "_part int, _bits binary"), self.places)
+
+    def on_worker(self, base: float, top: int | None = None) -> CountFilter:
+        return CountFilter([_bits(x) for x in self.pieces], self.segments, base, top or self.top, self.places)
 
 
 def _named(kinds: dict[str, str]):
@@ -280,34 +410,41 @@ def _named(kinds: dict[str, str]):
     return run
 
 
-def _scores(word_bits, word_shape, pair_bits, pair_shape, table, base: float, total: int, vocabulary: int, shard: int, shards: int):
-    """Scores of the tokens whose history is in the shard; in the first one also the counts of the frequent words."""
+def _scores(words_made: Made, often_made: Made, pieces: list, places, top: int, table, base: float, step: int, total: int, vocabulary: int, shard: int):
+    """Scores of the tokens whose pair is in a part of the shard; in the first one also the counts of the frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single, double = CountFilter(word_bits.value, word_shape[0], base, word_shape[1]), CountFilter(pair_bits.value, pair_shape[0], base, pair_shape[1])
+        single, often = words_made.on_worker(base), often_made.on_worker(base)
+        shards = places.value[3]
+        double = PartedFilter([_bits(x) for x in pieces], places.value[:3], base, top)
         word, count = (np.frombuffer(x, np.uint64) for x in table.value)
         for batch in blocks(batches, "_text", PART):
             token, text, many = _tokens(batch.column("_text"))
             own, at = np.unique(token, return_inverse=True)
-            alone = (single.count(_member(own, "word")) + 1) / (total + vocabulary + 1)
+            member = _member(own, "word")
+            alone = (single.count(member) + 1) / (total + vocabulary + 1)
             # Histories: the words, and the start of a text.
-            history = _history_name(np.append(own, _START))
-            home = history % np.uint64(shards) == shard
+            first, spread = np.append(own, _START), np.append(single.reaches(member, step), True)
+            history, part = _history_name(first), _part(first, False, len(shards))
+            mine = ~spread & (shards[part] == shard)
             kinds, uses = np.zeros(len(history)), np.zeros(len(history))
-            kinds[home] = double.count(_member(history[home], "kinds"))
-            live = kinds > 0
-            uses[live] = double.count(_member(history[live], "uses"))
+            for name, found in (("kinds", kinds), ("uses", uses)):
+                found[spread] = often.count(_member(history[spread], name))
+                found[mine] = double.count(_member(history[mine], name), part[mine])
+                mine &= kinds > 0
             before = np.empty_like(at)
             before[1:] = at[:-1]
             before[np.cumsum(many) - many] = len(own)
-            asked = np.flatnonzero(live[before])
-            pair, back = np.unique(_pair_name(np.append(own, _START)[before[asked]], token[asked]), return_inverse=True)
+            named = _pair_name(first[before], token)
+            home = shards[_part(named, spread[before], len(shards))] == shard
+            asked = np.flatnonzero(home & (kinds[before] > 0))
+            pair, one, back = np.unique(named[asked], return_index=True, return_inverse=True)
             both = np.zeros(len(token))
-            both[asked] = double.count(_member(pair, "pair"))[back]
+            both[asked] = double.count(_member(pair, "pair"), _part(pair, spread[before[asked[one]]], len(shards)))[back]
             t, c, p = kinds[before], uses[before], alone[at]
             p = np.where(t > 0, (both + t * p) / np.maximum(np.maximum(c, both) + t, 1), p)
             sums = lambda x: np.bincount(text, weights=x, minlength=len(many))  # noqa: B023, E731
-            score = sums(np.where(home[before], np.log10(np.minimum(p, 1.0)), 0.0))
+            score = sums(np.where(home, np.log10(np.minimum(p, 1.0)), 0.0))
             if len(word):
                 spot = np.minimum(np.searchsorted(word, own), len(word) - 1)
                 c = np.where(word[spot] == own, count[spot], 0).astype(np.int64)[at]
@@ -315,7 +452,7 @@ def _scores(word_bits, word_shape, pair_bits, pair_shape, table, base: float, to
                 c = np.zeros(len(token), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), batch.column("_train"), pa.array(many), pa.array(sums(c > 0).astype(np.int64)), pa.array(sums(np.log10(c + 1.0))), pa.array(score)], ["_id", "_hash", "_train", "_many", "_known", "_logs", "_score"])
             release()
-        del single, double, word, count
+        del single, often, double, word, count
         release()
 
     return run
@@ -339,8 +476,8 @@ def _rare_words(table):
     return run
 
 
-def _most_frequent(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words and counts of the most frequent words, at most ``most``, in order of the words. Cut between classes of counts, of which there are some 500."""
+def _most_frequent(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Words and counts of the most frequent words, at most ``most``, in order of the words, and the table of all rarer ones. Cut between classes of counts, of which there are some 500."""
     kind = F.floor(F.log2(F.col("_count").cast("double")) * 8)
     least, n = None, 0
     for row in sorted(counted.groupBy(kind.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["k"]):
@@ -349,14 +486,14 @@ def _most_frequent(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarra
             break
         least = row["k"]
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), counted
     found = counted.filter(kind >= least).select("_word", "_count").toArrow()
     word = found.column("_word").to_numpy().view(np.uint64)
     order = np.argsort(word)
-    return word[order], found.column("_count").to_numpy().view(np.uint64)[order]
+    return word[order], found.column("_count").to_numpy().view(np.uint64)[order], counted.filter(kind < least)
 
 
-def score_texts(docs: DataFrame, held_out: Column, min_count: int = 1, base: float = 1.3, shard_mb: float = 256, most_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, min_count: int = 1, base: float = 1.3, shard_mb: float = 256, most_words: int = 2_000_000, spread_from: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all texts under a model of the texts that aren't held out.
 
     Tokens are the words (A-Z lower-cased) and the end of the text. Returns for
@@ -382,32 +519,41 @@ def score_texts(docs: DataFrame, held_out: Column, min_count: int = 1, base: flo
     seen = counted.agg(F.coalesce(F.sum("_count"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, vocabulary = seen["n"], seen["v"]
     frequent = counted.filter(F.col("_count") >= min_count).select(F.col("_word").alias("_name"), "_count")
-    words_made = _made(frequent.mapInArrow(_named({"word": "_count"}), "_member long, _count long"), frequent.select("_count"), base)
-    word_bits, word_shape = spark.sparkContext.broadcast(words_made[0]), words_made[1:]
+    words_made = Made(frequent.mapInArrow(_named({"word": "_count"}), "_member long, _count long"), frequent.select("_count"), base)
 
     size = rows.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
     parts = max(4 * wide, math.ceil(size / SORTED))
-    planes = rows.select("_train", "_text").mapInArrow(_pair_planes(word_bits, word_shape[0], parts), "_part long, _planes binary")
-    pairs = written(planes.groupBy("_part").applyInArrow(_frequent_pairs(min_count), "_name long, _history long, _count long"), "lm-pairs", "zstd")
-    histories = pairs.groupBy("_history").agg(F.sum("_count").alias("_uses"), F.count(F.lit(1)).alias("_kinds"))
-    pair_members = pairs.select("_history", "_name", "_count")
-    history_members = written(histories, "lm-histories")
-    weight = pairs.count() + 2 * history_members.count()
-    shards = max(1, math.ceil(2 * weight * BITS / 8 / (shard_mb * (1 << 20))))  # some two steps each
-
-    table = spark.sparkContext.broadcast(tuple(x.tobytes() for x in _most_frequent(counted, most_words)))
+    step = int(_steps(np.array([spread_from]), base)[0])
+    planes = rows.select("_train", "_text").mapInArrow(_pair_planes(words_made, parts, step), "_part long, _spread boolean, _planes binary")
+    # Row groups of a part or two, so that those of other shards aren't read.
+    pairs = written(planes.groupBy("_part").applyInArrow(_pair_filter(min_count, base), "_part long, _members long, _top long, _bits binary, _apart binary"), "lm-pairs", "uncompressed", **{"parquet.block.size": 1 << 20, "parquet.block.size.row.check.min": 1})
+    apart = pairs.select("_apart").mapInArrow(_apart, "_name long, _uses long, _kinds long").groupBy("_name").agg(F.sum("_uses").alias("_uses"), F.sum("_kinds").alias("_kinds"))
+    apart = written(apart, "lm-often")
+    often_made = Made(apart.mapInArrow(_named({"uses": "_uses", "kinds": "_kinds"}), "_member long, _count long"), apart.select(F.explode(F.array("_uses", "_kinds")).alias("_count")), base)
+
+    # Of each part: its piece and its start there, its size, its shard.
+    places, weight, top = np.zeros((4, parts), np.int64), np.zeros(parts, np.int64), 1
+    places[0] = -1
+    for row in pairs.select("_part", "_members", "_top", F.octet_length("_bits").alias("_size")).toLocalIterator():
+        weight[row["_part"]], places[2, row["_part"]], top = row["_members"], row["_size"] // 8, max(top, row["_top"])
+    shards = max(1, math.ceil(weight.sum() * BITS / 8 / (shard_mb * (1 << 20))))
+    places[3] = (np.cumsum(weight) - weight) * shards // max(1, weight.sum())
+
+    *often, rarer = _most_frequent(counted, most_words)
+    has_rarer = len(often[0]) < vocabulary
+    table = spark.sparkContext.broadcast(tuple(often))
+    del often
+    release()
     out = None
-    for shard in range(shards):
-        own = F.pmod(F.col("_history"), F.lit(shards)) == shard
-        members = pair_members.filter(own).select("_name", "_count").mapInArrow(_named({"pair": "_count"}), "_member long, _count long")
-        members = members.unionByName(history_members.filter(own).select(F.col("_history").alias("_name"), "_uses", "_kinds").mapInArrow(_named({"uses": "_uses", "kinds": "_kinds"}), "_member long, _count long"))
-        counts = pair_members.filter(own).select("_count")
-        for c in ("_uses", "_kinds"):
-            counts = counts.unionByName(history_members.filter(own).select(F.col(c).alias("_count")))
-        bits, *shape = _made(members, counts, base)
-        scored = rows.mapInArrow(_scores(word_bits, word_shape, spark.sparkContext.broadcast(bits), tuple(shape), table, base, total, vocabulary, shard, shards), f"_id {named}, _hash long, _train boolean, _many long, _known long, _logs double, _score double")
+    for shard in np.unique(places[3]).tolist():
+        own = np.flatnonzero(places[3] == shard)
+        pieces = _passed_on(pairs.filter(F.col("_part").between(int(own[0]), int(own[-1]))), places)
+        asked = spark.sparkContext.broadcast(places)
+        scored = rows.mapInArrow(_scores(words_made, often_made, pieces, asked, top, table, base, step, total, vocabulary, shard), f"_id {named}, _hash long, _train boolean, _many long, _known long, _logs double, _score double")
         if shards > 1:  # a filter is freed before the next one is sent
             scored = written(scored, "lm-scores")
+            for sent in [*pieces, asked]:
+                sent.destroy()
         if out is None:
             out = scored
             continue
@@ -415,10 +561,11 @@ def score_texts(docs: DataFrame, held_out: Column, min_count: int = 1, base: flo
         out = out.join(more, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).withColumn("_score", F.col("_score") + F.col("_more")).drop("_i", "_h", "_more")
 
     known, logs = F.col("_known"), F.col("_logs")
-    if len(table.value[0]) // 8 < vocabulary:
+    if has_rarer:
         rare = rows.select("_id", "_hash", "_text").mapInArrow(_rare_words(table), f"_id {named}, _hash long, _word long, _many long")
-        rare = rare.groupBy("_id", "_hash", "_word").agg(F.max("_many").alias("_many"))  # repeated rows
-        rare = rare.join(counted, "_word").groupBy(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).agg(F.sum("_many").alias("_k"), F.sum(F.col("_many") * F.log10(F.col("_count") + 1)).alias("_l"))
+        # Dealt by word once, for the join and for leaving out repeated rows.
+        rare = rare.repartition("_word").groupBy("_id", "_hash", "_word").agg(F.max("_many").alias("_many"))
+        rare = rare.join(rarer, "_word").groupBy(F.col("_id").alias("_i"), F.col("_hash").alias("_h")).agg(F.sum("_many").alias("_k"), F.sum(F.col("_many") * F.log10(F.col("_count") + 1)).alias("_l"))
         out = out.join(rare, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left")
         known, logs = known + F.coalesce("_k", F.lit(0)), logs + F.coalesce("_l", F.lit(0.0))
     base_score = logs - F.col("_many") * math.log10(total + vocabulary + 1)
