@@ -376,7 +376,7 @@ SERP = "byq AS (SELECT l_partkey AS id, l_suppkey AS s, row_number() OVER (PARTI
 
 @query(f"WITH {SERP} SELECT a, b, serp_overlap FROM edges WHERE serp_overlap >= 3")
 def serp_edges(spark, sf):
-    return G.serp_edges(_serps(spark, sf)).filter("serp_overlap >= 3")
+    return G.serp_edges(_serps(spark, sf), least=3)
 
 
 def _queries(spark, sf):
